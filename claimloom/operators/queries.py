@@ -1,0 +1,12 @@
+"""Core queries that belong to no single plan module."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import table
+from .instants import record_instants
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return record_instants(table(spark, d, "demo_corpus"), table(spark, d, "publishers"), table(spark, d, "dedup_candidate"))
