@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import contributor_caps, exact_copies, leaks, survivors, tokenizer
+from . import contributor_caps, exact_copies, language, leaks, survivors, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def p1_truth(spark: SparkSession, d: str) -> DataFrame:
     return survivors.truth_discovery(_p1_rows(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_report(table(spark, d, "demo_corpus")).where("not label_ok").select("rec_id", "seg_start", "lang")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_report(table(spark, d, "demo_corpus"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     items = contributor_caps.with_contributor(contributor_caps.latest_items(table(spark, d, "ranked_item")), table(spark, d, "dedup_candidate"))
     return contributor_caps.beyond_cap(items, ["run_id", "contributor"], "relevance_score", "key", max_count=2).select("run_id", "key")
@@ -50,7 +58,7 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_truth, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_cleaned)}
+    return {f.__name__: f for f in (p1_found, p1_truth, p3_found, p3_report, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_cleaned)}
 
 
 def oracle_sql() -> dict[str, str]:
