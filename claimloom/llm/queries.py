@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import contributor_caps, exact_copies, language, leaks, survivors, tokenizer
+from . import abuse, contributor_caps, exact_copies, language, leaks, near_copies, survivors, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return exact_copies.copy_counts(exact_copies.fingerprints(table(spark, d, "demo_corpus")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.near_copy_pairs(*near_copies.similar_classes(table(spark, d, "demo_corpus"), threshold=0.5, width=3))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -57,8 +61,20 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents")).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_truth, p3_found, p3_report, p4_found, p5_found, p5_counts, p7_ids, p8_found, p8_cleaned)}
+    return {f.__name__: f for f in (p1_found, p1_truth, p3_found, p3_report, p4_found, p5_found, p5_counts, p6_found, p7_ids, p8_found, p8_cleaned, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
