@@ -33,6 +33,10 @@ from ..session import written
 SLOTS = 1 << 26
 RANGES = 16
 FLUSH = 2_000_000
+#: Shingles counted beyond those that suffice to find a pair: more rows to join, fewer sets to compare.
+EXTRA = 4
+#: Ids of copies up to which they are broadcast; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _WORDS: dict[str, int] = {}
 
@@ -196,18 +200,29 @@ def similar_classes(records: DataFrame, threshold: float, width: int, row_id: st
     members = written(marks.join(reps, ["h1", "h2"]).select("rec_id", "rep"), "members")
     levels = _levels(first)
     sets = indexed_sets(rows, width, threshold, levels)
-    sets = written(sets.join(members.where("rec_id <> rep").select("rec_id"), "rec_id", "left_anti"), "sets")
-    ix = sets.select("rec_id", "size", "kept", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "shingle"))
-    ix = ix.select("shingle", "rec_id", "size", (F.col("kept") - F.col("pos")).alias("left"))
+    copies = members.where("rec_id <> rep").select("rec_id")
+    few = copies.count() <= BROADCAST_ROWS
+    sets = written(sets.join(F.broadcast(copies) if few else copies, "rec_id", "left_anti"), "sets")
+    share = threshold / (1 + threshold)
+    low, high = lambda k: F.col(k).bitwiseAND(F.lit((1 << 32) - 1)), lambda k: F.shiftright(k, 32)
+    pack = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+    ix = sets.select("rec_id", pack(F.col("size"), F.col("kept")).alias("sizes"), "prefix", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "shingle"))
+    ix = ix.select("shingle", "rec_id", "sizes", pack(F.col("prefix"), F.col("pos")).alias("places"))
     a, b = ix.alias("a"), ix.alias("b")
-    need = (F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9
-    fits = (F.col("a.rec_id") < F.col("b.rec_id")) & (F.least("a.left", "b.left") >= need)
-    fits = fits & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9)
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & fits).select(F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b")).distinct()
+    n_a, n_b = high("a.sizes"), high("b.sizes")
+    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rec_id") < F.col("b.rec_id")) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold - 1e-9))
+    met = met.withColumn("need", F.ceil((n_a + n_b) * share - 1e-9))
+    # As many of its rarest shingles as can be missing from the other, one more, and EXTRA to count.
+    upto = {k: F.least(high(f"{k}.places"), low(f"{k}.sizes") - F.col("need") + 1 + EXTRA) for k in "ab"}
+    met = met.where((low("a.places") < upto["a"]) & (low("b.places") < upto["b"]))
+    # Common shingles are those met here, and at most what lies behind the counted part of one of the two.
+    least = F.col("need") - F.greatest(low("a.sizes") - upto["a"], low("b.sizes") - upto["b"])
+    met = met.select(F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"), least.cast("int").alias("least"))
+    met = met.groupBy("a", "b", "least").agg(F.count("*").alias("met")).where("met >= least")
     side = lambda k: sets.select(F.col("rec_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("shingles").alias(f"set_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = met.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     both = both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size_sum"), F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
-    return members, both.where(F.col("overlap") >= F.col("size_sum") * (threshold / (1 + threshold)) - 1e-9)
+    return members, both.where(F.col("overlap") >= F.col("size_sum") * share - 1e-9)
 
 
 def near_copy_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
