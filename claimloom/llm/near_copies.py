@@ -19,6 +19,7 @@ thresholds: see there for why it is not used at 0.5.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import written
+from ..session import dropped, written
 
 SLOTS = 1 << 26
 RANGES = 16
 FLUSH = 2_000_000
+#: Sets are stored, joined and compared by 48 bits of each hash: two sets of 1,000 differ by chance once in 10^8 pairs.
+KEPT_BITS = np.uint64((1 << 48) - 1)
 #: Shingles counted beyond those that suffice to find a pair: more rows to join, fewer sets to compare.
 EXTRA = 4
 #: Ids of copies up to which they are broadcast; beyond, they are joined by shuffling.
@@ -122,11 +125,13 @@ def _pack(slots: np.ndarray) -> bytes:
         wide = np.full(int(steps.sum()) + len(gaps), 65535)
         wide[np.cumsum(steps + 1) - 1] = gaps % 65535
         gaps = wide
-    return int(slots[0]).to_bytes(4, "little") + gaps.astype(np.uint16).tobytes()
+    return int(slots[0]).to_bytes(4, "little") + zlib.compress(gaps.astype(np.uint16).tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint16, offset=4).astype(np.int64)
+    if len(data) <= 4:
+        return np.empty(0, np.int64)
+    gaps = np.frombuffer(zlib.decompress(data[4:]), np.uint16).astype(np.int64)
     at = int.from_bytes(data[:4], "little") + np.cumsum(gaps)
     return at[gaps != 65535]
 
@@ -179,7 +184,7 @@ def indexed_sets(records: DataFrame, width: int, threshold: float, levels: bytes
                 sizes.append(n)
                 kept.append(m)
                 prefix.append(m - need + 1)
-                flat.append(g[np.lexsort((g, level))])
+                flat.append(g[np.lexsort((g, level))] & KEPT_BITS)
                 ends.append(ends[-1] + m)
             values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
             arrays = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (sizes, kept, prefix)), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values))]
@@ -199,28 +204,38 @@ def similar_classes(records: DataFrame, threshold: float, width: int, row_id: st
     reps = marks.groupBy("h1", "h2").agg(F.min("rec_id").alias("rep"))
     members = written(marks.join(reps, ["h1", "h2"]).select("rec_id", "rep"), "members")
     levels = _levels(first)
+    dropped(first)
     sets = indexed_sets(rows, width, threshold, levels)
     copies = members.where("rec_id <> rep").select("rec_id")
     few = copies.count() <= BROADCAST_ROWS
     sets = written(sets.join(F.broadcast(copies) if few else copies, "rec_id", "left_anti"), "sets")
     share = threshold / (1 + threshold)
-    low, high = lambda k: F.col(k).bitwiseAND(F.lit((1 << 32) - 1)), lambda k: F.shiftright(k, 32)
-    pack = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
-    ix = sets.select("rec_id", pack(F.col("size"), F.col("kept")).alias("sizes"), "prefix", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "shingle"))
-    ix = ix.select("shingle", "rec_id", "sizes", pack(F.col("prefix"), F.col("pos")).alias("places"))
+    ix = sets.select("rec_id", "size", "kept", "prefix", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "shingle"))
+    # Four small numbers in one, or in two where a set is large: rows of the index are many.
+    parts = ["size", "kept", "prefix", "pos"]
+    if (sets.agg(F.max("size")).first()[0] or 0) < 1 << 16:
+        packed = sum((F.shiftleft(F.col(p).cast("long"), 48 - 16 * i) for i, p in enumerate(parts)), F.lit(0).cast("long"))
+        ix = ix.select("shingle", "rec_id", packed.alias("info"))
+        get = lambda k, p: F.shiftrightunsigned(f"{k}.info", 48 - 16 * parts.index(p)).bitwiseAND(F.lit(0xFFFF))
+    else:
+        ix = ix.select("shingle", "rec_id", *parts)
+        get = lambda k, p: F.col(f"{k}.{p}").cast("long")
     a, b = ix.alias("a"), ix.alias("b")
-    n_a, n_b = high("a.sizes"), high("b.sizes")
+    n_a, n_b = get("a", "size"), get("b", "size")
     met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rec_id") < F.col("b.rec_id")) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold - 1e-9))
     met = met.withColumn("need", F.ceil((n_a + n_b) * share - 1e-9))
     # As many of its rarest shingles as can be missing from the other, one more, and EXTRA to count.
-    upto = {k: F.least(high(f"{k}.places"), low(f"{k}.sizes") - F.col("need") + 1 + EXTRA) for k in "ab"}
-    met = met.where((low("a.places") < upto["a"]) & (low("b.places") < upto["b"]))
+    upto = {k: F.least(get(k, "prefix"), get(k, "kept") - F.col("need") + 1 + EXTRA) for k in "ab"}
+    met = met.where((get("a", "pos") < upto["a"]) & (get("b", "pos") < upto["b"]))
     # Common shingles are those met here, and at most what lies behind the counted part of one of the two.
-    least = F.col("need") - F.greatest(low("a.sizes") - upto["a"], low("b.sizes") - upto["b"])
+    least = F.col("need") - F.greatest(get("a", "kept") - upto["a"], get("b", "kept") - upto["b"])
     met = met.select(F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"), least.cast("int").alias("least"))
-    met = met.groupBy("a", "b", "least").agg(F.count("*").alias("met")).where("met >= least")
+    met = written(met.groupBy("a", "b", "least").agg(F.count("*").alias("met")).where("met >= least").select("a", "b"), "candidates")
+    # Only sets that some candidate needs are sent on.
+    asked = met.select(F.explode(F.array("a", "b")).alias("rec_id")).distinct()
+    sets = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "rec_id", "left_semi")
     side = lambda k: sets.select(F.col("rec_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("shingles").alias(f"set_{k}"))
-    both = met.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = met.join(side("a"), "a").join(side("b"), "b")
     both = both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size_sum"), F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
     return members, both.where(F.col("overlap") >= F.col("size_sum") * share - 1e-9)
 
