@@ -4,11 +4,16 @@ A bidirectional gated recurrent network with attention pooling, written and
 trained in numpy.  Its input per word is a word vector (hashed) beside the mean
 of its character vectors (hashed trigrams and the word's consonants), so
 spellings that hide a word still resemble it.  It scores all windows of
-`WINDOW` words that begin every `STRIDE` words of the whole text; a document's
-score is that of its worst window.  The network is fitted by `train` on at most
+`WINDOW` words that begin every `STRIDE` words of the whole text.  Windows to
+which the first network gives `ASK` or more, under one in fifty, are scored by a
+committee of networks of the same kind, trained from other seeds and with other
+shares of swapped words, whose mean counts: single networks err on different
+windows.  A document's score is that of its worst window.  Networks are fitted by `train` on at most
 `TRAIN_DOCS` rated documents: in documents rated abusive the window that the
 current network finds worst counts as abusive, all windows of others as clean,
-and ratings the network strongly contradicts are left out of later passes.
+and ratings the network strongly contradicts are left out of later passes.  From
+the second pass on, up to `UNRATED_DOCS` documents without a rating take part
+where the network is sure of them.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -27,9 +33,10 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED, BUCKETS = 16, 16, 4096
-TRAIN_DOCS = 16_000
-THRESHOLD = 0.5
+TRAIN_DOCS, UNRATED_DOCS = 16_000, 20_000
+THRESHOLD, ASK = 0.6, 0.02
 MEMO = 150_000
+BATCH = 256
 MODEL = Path(__file__).parent / "models" / "abuse.npz"
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -88,6 +95,7 @@ class Network:
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self._row: dict[str, int] = {}
+        self._of_word: dict[str, int] = {}
         self._input = np.empty((4096, 6 * HIDDEN), np.float32)
 
     @staticmethod
@@ -99,38 +107,77 @@ class Network:
             p |= {f"W{d}": r.normal(0, (2 * e) ** -0.5, (2 * e, 3 * h)), f"b{d}": np.zeros(3 * h), f"U{d}": r.normal(0, h**-0.5, (h, 3 * h))}
         return Network(p)
 
-    def vector(self, word: str) -> np.ndarray:
-        return np.concatenate([self.p["word"][_hash(word)], self.p["char"][_characters(word)].mean(0)])
-
     def inputs(self, tokens: list[str]) -> np.ndarray:
         """Rows of the table of projected inputs, one per token; new words are added to it."""
         if len(self._row) > MEMO:
             self._row.clear()
+            self._of_word.clear()
         rows = list(map(self._row.get, tokens))
         if None in rows:
-            for i, r in enumerate(rows):
+            missing = dict.fromkeys(t for t, r in zip(tokens, rows, strict=True) if r is None)
+            fresh: list[str] = []
+            for t in missing:
+                w = word_of(t)
+                r = self._of_word.get(w)
                 if r is None:
-                    t = tokens[i]
-                    r = self._row.get(t)
-                    if r is None:
-                        r = self._row[t] = len(self._row)
-                        if r >= len(self._input):
-                            self._input = np.concatenate([self._input, np.empty_like(self._input)])
-                        x = self.vector(word_of(t))
-                        self._input[r] = np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]])
-                    rows[i] = r
+                    r = self._of_word[w] = len(self._of_word)
+                    fresh.append(w)
+                self._row[t] = r
+            self._project(fresh)
+            rows = list(map(self._row.__getitem__, tokens))
         return np.array(rows, np.int32)
 
+    def _project(self, fresh: list[str]) -> None:
+        """Appends the projected inputs of new words to the table, all at once."""
+        if not fresh:
+            return
+        upto = len(self._of_word)
+        while upto > len(self._input):
+            self._input = np.concatenate([self._input, np.empty_like(self._input)])
+        chars = [_characters(w) for w in fresh]
+        size = np.array(list(map(len, chars)))
+        sums = np.add.reduceat(self.p["char"][np.concatenate(chars)], np.cumsum(size) - size)
+        x = np.concatenate([self.p["word"][[_hash(w) for w in fresh]], sums / size[:, None]], 1).astype(np.float32)
+        self._input[upto - len(fresh) : upto] = np.concatenate([x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], 1)
+
     def scores(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Scores of windows given as rows of the input table, padded at the end."""
         out = np.empty(len(rows), np.float32)
-        for a in range(0, len(rows), 512):
-            part, n = rows[a : a + 512], lengths[a : a + 512]
-            t = int(n.max())
+        h_ = HIDDEN
+        u = np.stack([self.p["Uf"], self.p["Ub"]])
+        for a in range(0, len(rows), BATCH):
+            part, n = rows[a : a + BATCH], lengths[a : a + BATCH]
+            size, t = len(part), int(n.max())
+            full = bool((n == t).all())
             x = self._input[part[:, :t].T]  # time first
+            # Both directions go side by side, the second one backwards; all in place.
+            state, hu, gate, cand = (np.zeros((2, size, k), np.float32) for k in (h_, 3 * h_, 2 * h_, h_))
+            hidden = np.empty((t, size, 2 * h_), np.float32)
+            for i in range(t):
+                j = t - 1 - i
+                np.matmul(state, u, out=hu)
+                np.add(hu[0, :, : 2 * h_], x[i, :, : 2 * h_], out=gate[0])
+                np.add(hu[1, :, : 2 * h_], x[j, :, 3 * h_ : 5 * h_], out=gate[1])
+                np.negative(gate, out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[:, :, h_:], hu[:, :, 2 * h_ :], out=cand)
+                cand[0] += x[i, :, 2 * h_ : 3 * h_]
+                cand[1] += x[j, :, 5 * h_ :]
+                np.tanh(cand, out=cand)
+                # h' = n + z * (h - n), kept as it was where a window has ended.
+                change = hu[:, :, :h_]
+                np.subtract(cand, state, out=change)
+                change *= 1 - gate[:, :, :h_]
+                if not full:
+                    change[0] *= (n > i)[:, None]
+                    change[1] *= (n > j)[:, None]
+                state += change
+                hidden[i, :, :h_] = state[0]
+                hidden[j, :, h_:] = state[1]
             mask = (np.arange(t)[:, None] < n).astype(np.float32)[:, :, None]
-            h = np.concatenate([self._run(x[:, :, : 3 * HIDDEN], mask, "f"), self._run(x[:, :, 3 * HIDDEN :], mask, "b")], 2)
-            out[a : a + 512] = self._pool(h, mask)[0]
+            out[a : a + BATCH] = self._pool(hidden, mask)[0]
         return out
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
@@ -196,33 +243,48 @@ class Network:
         return g, dx, loss
 
 
-def save_model(net: Network, path: str | Path = MODEL) -> None:
-    np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in net.p.items()})
+def save_model(committee: list[Network], path: str | Path = MODEL) -> None:
+    np.savez_compressed(path, **{f"{i}.{k}": v.astype(np.float16) for i, net in enumerate(committee) for k, v in net.p.items()})
 
 
 @lru_cache(maxsize=2)
-def load_model(path: str = str(MODEL)) -> Network:
+def load_model(path: str = str(MODEL)) -> list[Network]:
+    """The networks of a model file; the first one sees every window."""
     with np.load(path) as z:
-        return Network({k: z[k] for k in z.files})
+        members = sorted({k.split(".")[0] for k in z.files}, key=int)
+        return [Network({k.split(".")[1]: z[k] for k in z.files if k.split(".")[0] == m}) for m in members]
 
 
-def document_scores(net: Network, texts: list[str | None]) -> list[float]:
+def document_scores(committee: list[Network], texts: list[str | None]) -> list[float]:
     """The worst window's score of each text; 0 without words."""
-    rows, lengths, owner = [], [], []
-    for i, t in enumerate(texts):
-        tokens = surface_tokens(t) if t else []
-        if not tokens:
+    tokens = [surface_tokens(t) if t else [] for t in texts]
+    net, *others = committee
+    ends = np.cumsum(list(map(len, tokens)))
+    every = net.inputs(list(chain.from_iterable(tokens)))
+    rows, lengths, owner, begins = [], [], [], []
+    for i, (r, own) in enumerate(zip(np.split(every, ends[:-1]), tokens, strict=True)):
+        if not own:
             continue
-        r = net.inputs(tokens)
-        for a, b in windows(len(tokens)):
-            w = np.zeros(WINDOW, np.int32)
-            w[: b - a] = r[a:b]
-            rows.append(w)
-            lengths.append(b - a)
-            owner.append(i)
+        if len(r) <= WINDOW:
+            rows.append(np.pad(r, (0, WINDOW - len(r)))[None])
+        else:
+            rows.append(np.lib.stride_tricks.sliding_window_view(r, WINDOW)[[a for a, _ in windows(len(r))]])
+        begins += [a for a, _ in windows(len(r))]
+        lengths.append(np.full(len(rows[-1]), min(len(r), WINDOW)))
+        owner.append(np.full(len(rows[-1]), i))
     best = np.zeros(len(texts))
     if rows:
-        np.maximum.at(best, np.array(owner), net.scores(np.stack(rows), np.array(lengths)))
+        length, of = np.concatenate(lengths), np.concatenate(owner)
+        score = net.scores(np.concatenate(rows), length)
+        asked = np.flatnonzero(score >= ASK)
+        if len(asked) and others:
+            told = [tokens[of[k]][begins[k] : begins[k] + WINDOW] for k in asked]
+            for other in others:
+                own_rows = np.zeros((len(asked), WINDOW), np.int32)
+                own_rows[np.arange(WINDOW) < length[asked, None]] = other.inputs(list(chain.from_iterable(told)))
+                score[asked] += other.scores(own_rows, length[asked])
+            score[asked] /= len(committee)
+        np.maximum.at(best, of, score)
     return best.tolist()
 
 
@@ -234,10 +296,10 @@ def scores(documents: DataFrame, model_path: str | None = None) -> DataFrame:
     path = model_path or str(MODEL)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = load_model(path)
+        committee = load_model(path)
         for b in batches:
             for part in (b.slice(i, 400) for i in range(0, b.num_rows, 400)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_scores(net, part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_scores(committee, part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "doc_id bigint, score double")
 
@@ -250,12 +312,14 @@ def rates(documents: DataFrame, model_path: str | None = None, threshold: float
     return own.groupBy("source").agg(F.count("*").alias("documents"), hit.alias("abusive"), F.round(hit / F.count("*"), 6).alias("rate"))
 
 
-def train(rated: list[tuple[str, int]], passes: int = 4, steps: int = 1600, batch: int = 288, seed: int = 7, log=lambda *x: None) -> Network:  # noqa: ANN001
+def train(
+    rated: list[tuple[str, int]], unrated: list[str] = (), passes: int = 4, steps: int = 1000, batch: int = 192, seed: int = 7, swaps: float = 0.1, log=lambda *x: None,  # noqa: ANN001
+) -> Network:
     """Fits a network on at most `TRAIN_DOCS` pairs (text, 1 for abusive), ratings noisy."""
     r = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     docs = []
-    for text, toxic in rated[:TRAIN_DOCS]:
+    for text, toxic in [*rated[:TRAIN_DOCS], *((t, -1) for t in unrated[:UNRATED_DOCS])]:
         ids = np.array([vocab.setdefault(word_of(t), len(vocab)) for t in surface_tokens(text)], np.int64)
         docs.append((ids, windows(len(ids)), toxic))
     words = list(vocab)
@@ -267,7 +331,8 @@ def train(rated: list[tuple[str, int]], passes: int = 4, steps: int = 1600, batc
         grid[i, : len(c)] = c
     many = (grid >= 0).sum(1, keepdims=True)
     flat = [(k, a, b) for k, (_, ws, _) in enumerate(docs) for a, b in ws]
-    label = np.array([docs[k][2] for k, _, _ in flat])
+    rating = np.array([docs[k][2] for k, _, _ in flat])
+    label = rating
     at = np.array([k for k, _, _ in flat])
     padded = np.zeros((len(flat), WINDOW), np.int64)
     length = np.array([b - a for _, a, b in flat])
@@ -276,7 +341,8 @@ def train(rated: list[tuple[str, int]], passes: int = 4, steps: int = 1600, batc
     # First guess at the abusive windows: words met mostly in documents rated so.
     seen = np.zeros((2, len(words)))
     for ids, _, toxic in docs:
-        seen[toxic, np.unique(ids)] += 1
+        if toxic >= 0:
+            seen[toxic, np.unique(ids)] += 1
     n = np.array([sum(t == y for _, _, t in docs) for y in (0, 1)])
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds[seen.sum(0) < 4] = 0
@@ -285,22 +351,28 @@ def train(rated: list[tuple[str, int]], passes: int = 4, steps: int = 1600, batc
     net = Network.fresh(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    step, mean, counted = 0, {k: np.zeros(v.shape) for k, v in net.p.items()}, 0
     for turn in range(passes):
         worst = np.full(len(docs), -1.0)
         np.maximum.at(worst, at, guess)
         top = guess >= worst[at] - 1e-12
         limit = 1.0 if turn == 0 else 0.3
+        if turn:
+            label = np.where(rating >= 0, rating, np.where(worst[at] > 0.95, 1, np.where(worst[at] < 0.05, 0, -1)))
         positive = np.flatnonzero((label == 1) & top & (guess > limit))
         wrong = worst[at] > (1e9 if turn == 0 else 0.9)
         negative = np.flatnonzero((label == 0) & ~wrong)
-        hard = negative[np.argsort(-guess[negative])[: 4 * len(positive)]]
+        hard = negative[np.argsort(-guess[negative])[: 10 * len(positive)]]
         log("pass", turn, "positive", len(positive), "negative", len(negative), "left out", int(len(np.unique(at[(label == 0) & wrong]))))
         for k in range(steps):
             step += 1
             rate = 4e-3 * min(1, step / 100) * (0.3 if turn == passes - 1 and k > steps / 2 else 1)
             pick = np.concatenate([r.choice(positive, batch // 3), r.choice(hard, batch // 3), r.choice(negative, batch // 3)])
-            x_words, back = np.unique(padded[pick].T, return_inverse=True)
+            chosen = padded[pick]
+            # In clean windows some words are swapped for others of clean windows, so that none is learnt by heart.
+            swap = (r.random(chosen.shape) < swaps) & (label[pick] == 0)[:, None]
+            chosen[swap] = padded[r.choice(negative, int(swap.sum())), r.integers(0, WINDOW, int(swap.sum()))]
+            x_words, back = np.unique(chosen.T, return_inverse=True)
             back = back.reshape(WINDOW, len(pick))
             c = grid[x_words]
             vec = np.concatenate([net.p["word"][own[x_words]], np.where(c[:, :, None] >= 0, net.p["char"][c], 0).sum(1) / many[x_words]], 1).astype(np.float32)
@@ -321,9 +393,14 @@ def train(rated: list[tuple[str, int]], passes: int = 4, steps: int = 1600, batc
                 m[q] = 0.9 * m[q] + 0.1 * v
                 s[q] = 0.999 * s[q] + 0.001 * v * v
                 net.p[q] -= (rate * (m[q] / (1 - 0.9**step)) / (np.sqrt(s[q] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            if turn == passes - 1 and k > steps / 2:
+                counted += 1
+                for q in mean:
+                    mean[q] += net.p[q]
             if k % 100 == 0:
                 log("  step", k, round(loss, 4))
         table = np.concatenate([net.p["word"][own], np.where(grid[:, :, None] >= 0, net.p["char"][grid], 0).sum(1) / many], 1).astype(np.float32)
         net._input = np.concatenate([table @ net.p["Wf"] + net.p["bf"], table @ net.p["Wb"] + net.p["bb"]], 1)
         guess = net.scores(padded, length).astype(float)
-    return Network(net.p)
+    # The mean over the last steps does better on new documents than the last step alone.
+    return Network({k: v / counted for k, v in mean.items()})

@@ -95,5 +95,5 @@ def test_small_training_learns():
     rated = [(f"alpha beta gamma {i} delta you horrible {w} go away now epsilon", 1) for i, w in enumerate(["fool", "brute", "swine"] * 20)]
     rated += [(f"alpha beta gamma {i} delta please merge the {w} change today epsilon", 0) for i, w in enumerate(["nice", "small", "green"] * 60)]
     net = abuse.train(rated, passes=2, steps=60, batch=48)
-    a, b = abuse.document_scores(net, ["zeta eta you horrible brute go away now", "zeta eta please merge the small change today"])
+    a, b = abuse.document_scores([net], ["zeta eta you horrible brute go away now", "zeta eta please merge the small change today"])
     assert a > 0.5 > b
