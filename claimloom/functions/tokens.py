@@ -1,7 +1,11 @@
-"""Token, shingle and fingerprint expressions, all inside the JVM."""
+"""Token, shingle and fingerprint expressions; all but the similarity hash stay inside the JVM."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,13 @@ def shingles(tokens: Column, n: int) -> Column:
     """Overlapping runs of `n` tokens (B6); all tokens as one run where there are fewer; none for none."""
     if n < 1:
         raise ValueError("a shingle has at least one token")
-    runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
-    return F.when(F.size(tokens) >= n, runs).when(F.size(tokens) > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, cut).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    # Bound by a lambda, the tokens are made once per row and not once per run.
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -57,13 +66,22 @@ def hamming(a: Column, b: Column) -> Column:
 def simhash(df: DataFrame, key: str, shingle_list: str) -> DataFrame:
     """`key, hi, lo`: the 64-bit similarity hash of each row's shingles, counted with repeats.
 
-    Bits come from the first 16 hex digits of SHA-256, in two halves of 32; a
-    bit is set where more shingles have it than not.  Rows without shingles
-    have both halves 0.
+    Bits come from the first 8 bytes of SHA-256, in two halves of 32; a bit is
+    set where more shingles have it than not.  Rows without shingles have both
+    halves 0.  One Arrow pass: 64 sums over exploded rows would outgrow the
+    size that generated code may have.
     """
-    h = df.select(F.col(key), F.explode_outer(shingle_list).alias("s")).withColumn("x", F.sha2("s", 256))
-    h = h.select(key, *[F.conv(F.substring("x", 1 + 8 * k, 8), 16, 10).cast("long").alias(n) for k, n in enumerate(("hi", "lo"))])
-    votes = [F.sum(F.shiftright(n, i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"{n}{i}") for n in ("hi", "lo") for i in range(32)]
-    counted = h.groupBy(key).agg(*votes)
-    half = lambda n: sum((F.when(F.col(f"{n}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)), F.lit(0).cast("long"))
-    return counted.select(key, half("hi").cast("long").alias("hi"), half("lo").cast("long").alias("lo"))
+
+    @F.arrow_udf("struct<hi:bigint,lo:bigint>")
+    def votes(v: pa.Array) -> pa.Array:
+        out = []
+        for runs in v.to_pylist():
+            value = 0
+            if runs:
+                digests = b"".join([hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:8] for s in runs])
+                bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                value = int.from_bytes(np.packbits(bits * 2 > len(runs)).tobytes(), "big")
+            out.append({"hi": value >> 32, "lo": value & 0xFFFFFFFF})
+        return pa.array(out, pa.struct([("hi", pa.int64()), ("lo", pa.int64())]))
+
+    return df.select(key, votes(F.col(shingle_list)).alias("h")).select(key, "h.hi", "h.lo")
