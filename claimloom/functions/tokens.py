@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,16 +73,18 @@ def simhash(df: DataFrame, key: str, shingle_list: str) -> DataFrame:
     size that generated code may have.
     """
 
-    @F.arrow_udf("struct<hi:bigint,lo:bigint>")
-    def votes(v: pa.Array) -> pa.Array:
-        out = []
-        for runs in v.to_pylist():
-            value = 0
-            if runs:
-                digests = b"".join([hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:8] for s in runs])
-                bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-                value = int.from_bytes(np.packbits(bits * 2 > len(runs)).tobytes(), "big")
-            out.append({"hi": value >> 32, "lo": value & 0xFFFFFFFF})
-        return pa.array(out, pa.struct([("hi", pa.int64()), ("lo", pa.int64())]))
-
-    return df.select(key, votes(F.col(shingle_list)).alias("h")).select(key, "h.hi", "h.lo")
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = []
+            for runs in b.column(1).to_pylist():
+                value = 0
+                if runs:
+                    digests = b"".join([hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:8] for s in runs])
+                    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                    value = int.from_bytes(np.packbits(bits * 2 > len(runs)).tobytes(), "big")
+                values.append(value)
+            halves = [pa.array([v >> 32 for v in values], pa.int64()), pa.array([v & 0xFFFFFFFF for v in values], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *halves], names=[key, "hi", "lo"])
+
+    narrow = df.select(key, shingle_list)
+    return narrow.mapInArrow(votes, f"`{key}` {dict(narrow.dtypes)[key]}, hi bigint, lo bigint")
