@@ -12,8 +12,7 @@ can be missing from a partner plus one: two sets similar enough share at least
 one of them.  Counts in the sketch can only be too high, which costs candidates
 but never a pair.  Sizes and positions rule out most candidates in the join.
 
-`partition_pairs` is the universe-partition pigeonhole join for high
-thresholds: see there for why it is not used at 0.5.
+The README says why universe-partition pigeonhole is not used at 0.5.
 """
 
 from __future__ import annotations
