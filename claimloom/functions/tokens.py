@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +64,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def simhash(df: DataFrame, key: str, shingle_list: str) -> DataFrame:
+def sha256_64(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:8]
+
+
+def blake2_64(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
+
+
+def simhash(df: DataFrame, key: str, shingle_list: str, digest: Callable[[bytes], bytes] = sha256_64) -> DataFrame:
     """`key, hi, lo`: the 64-bit similarity hash of each row's shingles, counted with repeats.
 
-    Bits come from the first 8 bytes of SHA-256, in two halves of 32; a bit is
+    Bits come from the 8 bytes of `digest`, in two halves of 32; a bit is
     set where more shingles have it than not.  Rows without shingles have both
     halves 0.  One Arrow pass: 64 sums over exploded rows would outgrow the
     size that generated code may have.
@@ -79,7 +87,7 @@ def simhash(df: DataFrame, key: str, shingle_list: str) -> DataFrame:
             for runs in b.column(1).to_pylist():
                 value = 0
                 if runs:
-                    digests = b"".join([hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:8] for s in runs])
+                    digests = b"".join([digest(s.encode("utf-8", "surrogatepass")) for s in runs])
                     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
                     value = int.from_bytes(np.packbits(bits * 2 > len(runs)).tobytes(), "big")
                 values.append(value)

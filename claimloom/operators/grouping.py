@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.python_text import normalized_text_hash
 from ..functions.text import is_blank
-from ..functions.tokens import content_tokens, hamming, shingles, simhash
+from ..functions.tokens import blake2_64, content_tokens, hamming, shingles, simhash
 from ..functions.urls import canonical_url, registrable_domain
 from ..session import written
 
@@ -31,13 +33,14 @@ def star_edges(df: DataFrame, key: str, by: str, basis: str) -> DataFrame:
     return some.join(heads.select("by", "a"), "by").where("a <> b").select("a", "b", F.lit(basis).alias("basis"))
 
 
-def near_duplicate_pairs(feats: DataFrame, jaccard_min: float = JACCARD_MIN, hamming_max: int | None = HAMMING_MAX) -> DataFrame:
+def near_duplicate_pairs(feats: DataFrame, jaccard_min: float = JACCARD_MIN, hamming_max: int | None = HAMMING_MAX, digest: Callable[[bytes], bytes] = blake2_64) -> DataFrame:
     """`a, b, overlap, size_sum` of rows whose shingle sets are alike (F4), by an exact prefix join.
 
     Under one order (rare shingles first) two alike sets share one of their
     first shingles, so only those are joined; sizes and the shared position
     rule out most pairs before the sets are compared.  `hamming_max` also asks
-    for near similarity hashes; None leaves that gate out.
+    for near similarity hashes, made with `digest`; None leaves that gate out.
+    The rule's digest is BLAKE2b; SHA-256 is for results that SQL must repeat.
     """
     t = int(round(jaccard_min * 100))
     base = written(feats.where(F.col("n_tokens") >= MIN_TOKENS).select("key", "grams", F.array_distinct("grams").alias("set")), "sets")
@@ -56,7 +59,7 @@ def near_duplicate_pairs(feats: DataFrame, jaccard_min: float = JACCARD_MIN, ham
     both = both.where(F.col("overlap") * 100 >= (F.col("size_sum") - F.col("overlap")) * t)
     if hamming_max is None:
         return both
-    h = simhash(base, "key", "grams")
+    h = simhash(base, "key", "grams", digest)
     both = both.join(h.select(F.col("key").alias("a"), F.col("hi").alias("ha"), F.col("lo").alias("la")), "a")
     both = both.join(h.select(F.col("key").alias("b"), F.col("hi").alias("hb"), F.col("lo").alias("lb")), "b")
     return both.where(hamming(F.col("ha"), F.col("hb")) + hamming(F.col("la"), F.col("lb")) <= hamming_max).select("a", "b", "overlap", "size_sum")

@@ -278,7 +278,7 @@ def near_dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NEAR}, h AS ({_SIMHASH_SQL('s')}) SELECT a, b, overlap, size_sum FROM near JOIN h p ON p.key = a JOIN h q ON q.key = b WHERE bit_count(xor(p.hi, q.hi)) + bit_count(xor(p.lo, q.lo)) <= 12")
 def near_dup_pairs_gated(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.near_duplicate_pairs(_features(spark, d))
+    return grouping.near_duplicate_pairs(_features(spark, d), digest=tokens.sha256_64)
 
 
 @query(

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from claimloom.functions import python_text, tokens
 from claimloom.operators import fusion, grouping, planner, provenance, ranking, retrieval, store
 
 
@@ -95,6 +96,48 @@ def test_near_duplicates_are_brute_force(spark):
     assert {(x.a, x.b) for x in grouping.near_duplicate_pairs(feats, hamming_max=None).collect()} == want and want
 
 
+def test_groups_gate_by_the_rules_hash(spark):
+    r = random.Random(11)
+    base = [[f"t{r.randint(0, 300)}" for _ in range(r.randint(14, 40))] for _ in range(60)]
+    texts = {f"{i:02d}-{j}": [w if r.random() > 0.025 * j else f"n{r.randint(0, 99)}" for w in b] for i, b in enumerate(base) for j in range(4)}
+    docs = spark.createDataFrame([(k, "", " ".join(t), None, None) for k, t in texts.items()], "key string, title string, text string, url string, publisher string")
+    grams = {k: [" ".join(t[i : i + 4]) for i in range(len(t) - 3)] for k, t in texts.items()}
+
+    def value(gs, digest):
+        bits = [sum(1 if int.from_bytes(digest(g.encode()), "big") >> i & 1 else -1 for g in gs) for i in range(64)]
+        return sum(1 << i for i, v in enumerate(bits) if v > 0)
+
+    def links(digest):
+        h = {k: value(g, digest) for k, g in grams.items()}
+        alike = lambda a, b: len(set(grams[a]) & set(grams[b])) >= 0.7 * len(set(grams[a]) | set(grams[b]))
+        return {(a, b) for a in texts for b in texts if a < b and alike(a, b) and (h[a] ^ h[b]).bit_count() <= 12}
+
+    want, other = links(tokens.blake2_64), links(tokens.sha256_64)
+    assert want - other and other - want
+    assert all(value(g, tokens.blake2_64) == python_text.simhash64(texts[k]) % (1 << 64) for k, g in grams.items())
+    feats = grouping.features(docs)
+    assert {(x.a, x.b) for x in grouping.near_duplicate_pairs(feats, digest=tokens.sha256_64).collect()} == other
+    linked = {k: {k} for k in texts}
+    for a, b in want:
+        if linked[a] is not linked[b]:
+            linked[a] |= linked[b]
+            for k in linked[b]:
+                linked[k] = linked[a]
+    got = {x.key: x for x in grouping.assign_groups(docs).collect()}
+    assert {k for k, x in got.items() if "near_duplicate_text" in x.grouping_basis} == {k for p in want for k in p}
+    same_text = {}
+    for k, t in texts.items():
+        same_text.setdefault(tuple(t), set()).add(k)
+    for ks in same_text.values():
+        first = min(ks)
+        for k in ks:
+            if linked[first] is not linked[k]:
+                linked[first] |= linked[k]
+                for x in linked[k]:
+                    linked[x] = linked[first]
+    assert {k: sorted(linked[k] - {k}) for k in texts} == {k: x.duplicate_of for k, x in got.items()}
+
+
 def test_temporal_and_credibility(spark):
     rows = [("2025-01-01T00:00:00Z",), ("2025-01-01T07:00:00+07:00",), ("2026-01-01T00:00:00+0100",), ("2025-01-01",), ("2025-01-01T00:00:00",), (None,)]
     df = spark.createDataFrame(rows, "p string")
