@@ -10,7 +10,9 @@ test set is joined by window text instead, both sides distributed.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,9 +147,37 @@ def _spans(text: str) -> list[tuple[str, int, int]]:
     """Words with the stretch of the stored text each comes from."""
     if text.isascii():
         return [(m.group(), m.start(), m.end()) for m in WORD.finditer(text.lower())]
-    folded, origin = [], []
-    for i, ch in enumerate(text):
-        f = fold(ch)
+    folded, first, last, at = [], [], [], 0
+    for unit in _units(text):
+        f = fold(unit)
         folded.append(f)
-        origin += [i] * len(f)
-    return [(m.group(), origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer("".join(folded))]
+        first += [at] * len(f)
+        at += len(unit)
+        last += [at] * len(f)
+    return [(m.group(), first[m.start()], last[m.end() - 1]) for m in WORD.finditer("".join(folded))]
+
+
+def _units(text: str) -> Iterator[str]:
+    """Shortest pieces that normalise each by itself as they do in the whole text: a character with all that joins it."""
+    start = 0
+    for i in range(1, len(text)):
+        if text[i] < "\x80" or not _joins(text[i]):
+            yield text[start:i]
+            start = i
+    if text:
+        yield text[start:]
+
+
+@cache
+def _joins(ch: str) -> bool:
+    """Whether normalisation may move or compose the character with those before it."""
+    first = unicodedata.normalize("NFKD", ch)[0]
+    return unicodedata.combining(first) > 0 or first in _seconds()
+
+
+@cache
+def _seconds() -> frozenset[str]:
+    """Characters that are the second half of a composed one, Hangul vowels and finals included."""
+    halves = (unicodedata.decomposition(chr(c)).split() for c in range(0x30000))
+    found = {chr(int(h[1], 16)) for h in halves if len(h) == 2 and not h[0].startswith("<")}
+    return frozenset(found) | set(map(chr, range(0x1161, 0x1176))) | set(map(chr, range(0x11A8, 0x11C3)))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from claimloom.functions.text import words
 from claimloom.llm import leaks
@@ -40,3 +41,26 @@ def test_spans_are_cut(spark):
     got = {r.doc_id: (r.text, r.removed_words) for r in leaks.without_leaks(docs, items, 4).collect()}
     assert got == {1: ("Keep ! Stay", 5), 4: (" ünd", 4)}
     assert leaks.leaked_items(docs.limit(0), items).count() == 0 and leaks.leaked_items(docs, items.limit(0)).count() == 0
+
+
+def test_spans_are_the_words_of_the_whole_text():
+    r = random.Random(4)
+    odd = [*"aeiouAkß½ﬁＡ .-1", *map(chr, (0x301, 0x308, 0x323, 0x327, 0x345, 0x3099, 0xFF76, 0xFF9E, 0x1112, 0x1161, 0x11AB, 0xD558, 0x9C7, 0x9BE, 0x344, 0x130, 0x1E9E, 0xC5, 0x2126))]
+    for _ in range(3000):
+        text = "".join(r.choices(odd, k=r.randint(0, 12)))
+        spans = leaks._spans(text)
+        assert [w for w, _, _ in spans] == words(text)
+        assert all(words(text[a:b]) and w in words(text[a:b]) for w, a, b in spans)
+
+
+def test_decomposed_leaks_are_cut(spark):
+    item = "café über résumé naïve señor façade jalapeño crème brûlée élan"
+    split = lambda t: unicodedata.normalize("NFD", t)
+    items = spark.createDataFrame([(1, item), (2, "한국 사람 말씀 하나 둘")], "item_id long, text string")
+    rows = [(1, "Keep " + split(item) + " stay"), (2, split("é ") + item + " é"), (3, split("앞 한국 사람 말씀 하나 둘 뒤")), (4, split("café über")), (5, "x " + split(item.upper()) + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items, 4).collect()}
+    assert found == {(1, 1), (2, 1), (3, 2), (5, 1)}
+    got = leaks.without_leaks(docs, items, 4)
+    assert {r.doc_id: (r.text, r.removed_words) for r in got.collect()} == {1: ("Keep  stay", 10), 2: (split("é ") + " é", 10), 3: (split("앞  뒤"), 5), 5: ("x !", 10)}
+    assert leaks.leaked_items(got, items, 4).count() == 0
