@@ -64,3 +64,20 @@ def test_decomposed_leaks_are_cut(spark):
     got = leaks.without_leaks(docs, items, 4)
     assert {r.doc_id: (r.text, r.removed_words) for r in got.collect()} == {1: ("Keep  stay", 10), 2: (split("é ") + " é", 10), 3: (split("앞  뒤"), 5), 5: ("x !", 10)}
     assert leaks.leaked_items(got, items, 4).count() == 0
+
+
+def test_spans_are_cut_alike_beyond_the_bound(spark):
+    for seed in (3, 4):
+        items, docs = data(seed)
+        d, b = spark.createDataFrame([*docs, (None, docs[1][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        near, far = ([tuple(r) for r in leaks.without_leaks(d, b, 6, most).collect()] for most in (leaks.MAX_GRAMS, 0))
+        assert sorted(map(repr, near)) == sorted(map(repr, far)) and len(near) > 5
+
+
+def test_every_item_counts_however_many_are_blank(spark):
+    text = "one two three four five six"
+    items = spark.createDataFrame([(i, "") for i in range(60)] + [(60, None), (99, text)], "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, "Keep " + text + " stay")], "doc_id long, text string")
+    for most in (5, 1):  # 40 and 8 characters
+        assert [tuple(r) for r in leaks.leaked_items(docs, items, 4, most).collect()] == [(1, 99)]
+        assert [tuple(r) for r in leaks.without_leaks(docs, items, 4, most).collect()] == [(1, "Keep  stay", 6)]
