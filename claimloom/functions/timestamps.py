@@ -31,6 +31,9 @@ MONTHS = {
 # Named zones that may stand in a text, in minutes east of UTC (fixed values).
 ZONES = {"Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WIB": 420, "WITA": 480, "WIT": 540}
 
+#: A digit that can be read; a text without one names no instant.
+DIGIT = "[0-9０-９]"
+
 _ZONE = r"(?:UTC|GMT)?[+-][0-9]{1,2}(?::?[0-9]{2})?|Z|UTC|GMT|UT|WIB|WITA|WIT"
 _AMPM = r"[ap]\.?m\.?"
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, is_blank
-from ..functions.timestamps import normalize_timestamps
+from ..functions.timestamps import DIGIT, normalize_timestamps
 from ..operators.publishers import with_publisher
 from ..session import written
 
@@ -61,7 +61,7 @@ def cluster_members(group_assignment: DataFrame) -> DataFrame:
 def prepared(candidate: DataFrame, group_assignment: DataFrame, publishers: DataFrame, dedup_candidate: DataFrame) -> DataFrame:
     """Cluster members with their candidate fields and the instant `utc_us` (null if unreadable)."""
     rows = cluster_members(group_assignment).join(latest_candidates(candidate), "key")
-    rows = with_publisher(rows, publishers, dedup_candidate, "key", "publisher", needed=F.col("published_at").rlike("[0-9]"))
+    rows = with_publisher(rows, publishers, dedup_candidate, "key", "publisher", needed=F.col("published_at").rlike(DIGIT))
     rows = normalize_timestamps(rows, "published_at", "utc_us", F.col("__pub_zone"), F.col("__pub_order"))
     return rows.drop("__pub_zone", "__pub_order", "__pub_key")
 

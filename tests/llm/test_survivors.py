@@ -46,3 +46,9 @@ def test_truth_discovery_prefers_the_reliable(spark):
     got = {r.duplicate_cluster_id: r for r in survivors.truth_discovery(df).where("field_name = 'title'").collect()}
     assert got["x"].best_key == "x2" and got["x"].support > 0.5
     assert all(got[f"c{c}"].value == f"right{c}" for c in range(20))
+
+
+def test_full_width_date_finds_its_outlet(spark):
+    rows = [("k3", "T", "text", None, None, "０２／０１／２０２５ １０：００", "web", "full", 1), ("k2", "T", "text", None, "P", "2025-01-01T00:00:00Z", "web", "full", 1)]
+    got = {r.key: r.utc_us for r in made(spark, rows, [("k3", "c"), ("k2", "c")]).collect()}
+    assert got == {"k3": 1735786800 * 1_000_000, "k2": 1735689600 * 1_000_000}

@@ -77,3 +77,12 @@ def test_records(spark):
     got = {r.rec_id: r.utc_us for r in record_instants(df, pubs, dedup).collect()}
     assert got == {1: us(2024, 3, 2, 10, zone=ZoneInfo("Asia/Jakarta")), 2: us(2024, 2, 3, 10, zone=ZoneInfo("America/Chicago")), 5: us(2024, 1, 1)}
     assert record_instants(df.limit(0), pubs, dedup).count() == 0
+
+
+def test_full_width_digits_alone(spark):
+    dates = ["２０２５-０１-０２T０３:００:００Z", "２０２５年", "０２／０１／２０２５ １０：００"]
+    df = spark.createDataFrame([(1, "a", None, dates[0]), (2, "a", None, dates[1]), (3, "k", None, dates[2])], "rec_id long, id string, publisher string, published_at string")
+    pubs = spark.createDataFrame([("Pos", "Asia/Jakarta", "DMY")], "publisher string, time_zone string, date_order string")
+    dedup = spark.createDataFrame([("k", "pos")], "key string, publisher string")
+    want = 1735786800 * 1_000_000  # 2025-01-02 03:00 UTC
+    assert {r.rec_id: r.utc_us for r in record_instants(df, pubs, dedup).collect()} == {1: want, 3: want}
