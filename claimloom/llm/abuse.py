@@ -4,11 +4,12 @@ A bidirectional gated recurrent network with attention pooling, written and
 trained in numpy.  Its input per word is a word vector (hashed) beside the mean
 of its character vectors (hashed trigrams and the word's consonants), so
 spellings that hide a word still resemble it.  It scores all windows of
-`WINDOW` words that begin every `STRIDE` words of the whole text.  Windows to
-which the first network gives `ASK` or more, under one in fifty, are scored by a
-committee of networks of the same kind, trained from other seeds and with other
-shares of swapped words, whose mean counts: single networks err on different
-windows.  A document's score is that of its worst window.  Networks are fitted by `train` on at most
+`WINDOW` words that begin every `STRIDE` words of the whole text.  The mean of a
+committee of networks of the same kind counts, trained from other seeds and with
+other shares of swapped words: single networks err on different windows.  Where
+only scores from a threshold up are asked for, a window is dropped as soon as the
+networks left could not lift its mean to it.  A document's score is that of its
+worst window.  Networks are fitted by `train` on at most
 `TRAIN_DOCS` rated documents: in documents rated abusive the window that the
 current network finds worst counts as abusive, all windows of others as clean,
 and ratings the network strongly contradicts are left out of later passes.  From
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED, BUCKETS = 16, 16, 4096
 TRAIN_DOCS, UNRATED_DOCS = 16_000, 20_000
-THRESHOLD, ASK = 0.6, 0.02
+THRESHOLD = 0.6
 MEMO = 150_000
 BATCH = 256
 MODEL = Path(__file__).parent / "models" / "abuse.npz"
@@ -249,49 +250,48 @@ def save_model(committee: list[Network], path: str | Path = MODEL) -> None:
 
 @lru_cache(maxsize=2)
 def load_model(path: str = str(MODEL)) -> list[Network]:
-    """The networks of a model file; the first one sees every window."""
+    """The networks of a model file."""
     with np.load(path) as z:
         members = sorted({k.split(".")[0] for k in z.files}, key=int)
         return [Network({k.split(".")[1]: z[k] for k in z.files if k.split(".")[0] == m}) for m in members]
 
 
-def document_scores(committee: list[Network], texts: list[str | None]) -> list[float]:
-    """The worst window's score of each text; 0 without words."""
+def document_scores(committee: list[Network], texts: list[str | None], least: float = 0.0) -> list[float]:
+    """The worst window's mean score of each text; 0 without words.
+
+    Scores from `least` up are the committee's; a lower one may come out lower still.
+    """
     tokens = [surface_tokens(t) if t else [] for t in texts]
-    net, *others = committee
     ends = np.cumsum(list(map(len, tokens)))
-    every = net.inputs(list(chain.from_iterable(tokens)))
-    rows, lengths, owner, begins = [], [], [], []
-    for i, (r, own) in enumerate(zip(np.split(every, ends[:-1]), tokens, strict=True)):
-        if not own:
-            continue
-        if len(r) <= WINDOW:
-            rows.append(np.pad(r, (0, WINDOW - len(r)))[None])
-        else:
-            rows.append(np.lib.stride_tricks.sliding_window_view(r, WINDOW)[[a for a, _ in windows(len(r))]])
-        begins += [a for a, _ in windows(len(r))]
-        lengths.append(np.full(len(rows[-1]), min(len(r), WINDOW)))
-        owner.append(np.full(len(rows[-1]), i))
-    best = np.zeros(len(texts))
-    if rows:
-        length, of = np.concatenate(lengths), np.concatenate(owner)
-        score = net.scores(np.concatenate(rows), length)
-        asked = np.flatnonzero(score >= ASK)
-        if len(asked) and others:
-            told = [tokens[of[k]][begins[k] : begins[k] + WINDOW] for k in asked]
-            for other in others:
-                own_rows = np.zeros((len(asked), WINDOW), np.int32)
-                own_rows[np.arange(WINDOW) < length[asked, None]] = other.inputs(list(chain.from_iterable(told)))
-                score[asked] += other.scores(own_rows, length[asked])
-            score[asked] /= len(committee)
-        np.maximum.at(best, of, score)
+    begins = [[a for a, _ in windows(len(own))] if own else [] for own in tokens]
+    of = np.repeat(np.arange(len(texts)), list(map(len, begins)))
+    starts = list(chain.from_iterable(begins))
+    length = np.array([min(len(tokens[i]), WINDOW) for i in of], np.int64)
+
+    def inputs(net: Network, live: np.ndarray) -> np.ndarray:
+        if len(live) < len(of):
+            told = [tokens[of[k]][starts[k] : starts[k] + WINDOW] for k in live]
+            rows = np.zeros((len(live), WINDOW), np.int32)
+            rows[np.arange(WINDOW) < length[live, None]] = net.inputs(list(chain.from_iterable(told)))
+            return rows
+        every = np.split(net.inputs(list(chain.from_iterable(tokens))), ends[:-1])
+        cut = lambda r, at: np.pad(r, (0, WINDOW - len(r)))[None] if len(r) <= WINDOW else np.lib.stride_tricks.sliding_window_view(r, WINDOW)[at]
+        return np.concatenate([cut(r, at) for r, at in zip(every, begins, strict=True) if at])
+
+    best, live, total = np.zeros(len(texts)), np.arange(len(of)), np.zeros(len(of))
+    for k, net in enumerate(committee):
+        live = live[total[live] + (len(committee) - k) >= least * len(committee) - 1e-6]
+        if len(live):
+            total[live] += net.scores(inputs(net, live), length[live])
+    np.maximum.at(best, of, total / len(committee))
     return best.tolist()
 
 
-def scores(documents: DataFrame, model_path: str | None = None) -> DataFrame:
+def scores(documents: DataFrame, model_path: str | None = None, least: float = 0.0) -> DataFrame:
     """`doc_id, score` of every document, in one pass without a shuffle.
 
     Null, empty and wordless texts score 0; repeated rows give a row each.
+    Scores below `least` are not exact, only below it.
     """
     path = model_path or str(MODEL)
 
@@ -299,14 +299,14 @@ def scores(documents: DataFrame, model_path: str | None = None) -> DataFrame:
         committee = load_model(path)
         for b in batches:
             for part in (b.slice(i, 400) for i in range(0, b.num_rows, 400)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_scores(committee, part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(document_scores(committee, part.column(1).to_pylist(), least), pa.float64())], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "doc_id bigint, score double")
 
 
 def rates(documents: DataFrame, model_path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """`source, documents, abusive, rate` per source; null sources form one group."""
-    scored = scores(documents, model_path)
+    scored = scores(documents, model_path, threshold)
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source").join(scored, "doc_id")
     hit = F.sum((F.col("score") >= threshold).cast("bigint"))
     return own.groupBy("source").agg(F.count("*").alias("documents"), hit.alias("abusive"), F.round(hit / F.count("*"), 6).alias("rate"))

@@ -62,7 +62,7 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(table(spark, d, "documents")).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
+    return abuse.scores(table(spark, d, "documents"), least=abuse.THRESHOLD).where(f"score >= {abuse.THRESHOLD}").select("doc_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:

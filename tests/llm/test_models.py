@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from claimloom.llm import abuse, language
@@ -97,3 +98,28 @@ def test_small_training_learns():
     net = abuse.train(rated, passes=2, steps=60, batch=48)
     a, b = abuse.document_scores([net], ["zeta eta you horrible brute go away now", "zeta eta please merge the small change today"])
     assert a > 0.5 > b
+
+
+def test_every_network_of_the_committee_counts():
+    class Fixed:
+        """Gives each word its own number; a window scores its first word's."""
+
+        def __init__(self, told):
+            self.told, self.seen = told, 0
+
+        def inputs(self, tokens):
+            return np.array([int(t[1:]) for t in tokens], np.int32)
+
+        def scores(self, rows, length):
+            self.seen += len(rows)
+            return np.array([self.told[r[0]] for r in rows], np.float32)
+
+    told = [(0.001, 1, 1, 1), (0.9, 0.9, 0.9, 0.9), (0.0, 0.3, 1, 1), (0.5, 0.5, 0.1, 0.2), (0.0, 0.41, 1, 1)]
+    texts = [f"w{i} w0 w1" for i in range(5)] + [None, "", " ".join(["w3"] * 12 + ["w1"] * 24)]
+    full = [sum(t) / 4 for t in told] + [0, 0, 0.9]
+    nets = [Fixed([t[k] for t in told]) for k in range(4)]
+    assert np.allclose(abuse.document_scores(nets, texts), full, atol=1e-6)
+    nets = [Fixed([t[k] for t in told]) for k in range(4)]
+    got = np.array(abuse.document_scores(nets, texts, 0.6))
+    assert [x >= 0.6 for x in got] == [x >= 0.6 for x in full] and np.allclose(got[got >= 0.6], [x for x in full if x >= 0.6], atol=1e-6)
+    assert nets[3].seen < nets[0].seen
