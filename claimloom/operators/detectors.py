@@ -1,4 +1,4 @@
-"""Scores of AI-content detectors on a branch of their own."""
+"""Scores of AI-content detectors on a branch of their own."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Snapshots, idempotency, queues and evidence assembly as table operators."""
+"""Snapshots, idempotency, queues and evidence assembly as table operators."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Images as content-addressed records."""
+"""Images as content-addressed records."""
 
 from __future__ import annotations
 
