@@ -27,6 +27,8 @@ from ..session import written
 # Orders of trust (fixed values).
 STATUS_ORDER = ["full", "excerptonly", "snippetonly"]
 KIND_ORDER = ["fact_check", "official", "news", "local_corpus", "image_provenance", "web", "user_supplied"]
+#: What a claim counts by its place of content: the three of `STATUS_ORDER`, then blank or unknown (fixed values).
+CONTENT_WEIGHTS = [1.0, 0.75, 0.5, 0.25]
 FIELDS = ["title", "url", "publisher", "published_at"]
 
 
@@ -81,18 +83,21 @@ def survivors(rows: DataFrame) -> DataFrame:
     return best.select("duplicate_cluster_id", F.inline(entries)).where("best_key is not null")
 
 
-def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 200, tolerance: float = 1e-4) -> DataFrame:
     """`duplicate_cluster_id, field_name, value, support, best_key` of the value most supported.
 
     Support is a share in (0, 1].  Ties go to the value of the first key.
     Reliabilities start at 0.8 and are smoothed by one such vote; iteration ends
-    when none moves by more than `tolerance`, or after `rounds`.
+    when none moves by more than `tolerance`.  If some still do after `rounds`,
+    that is an error: values of an unsettled round are never returned.  Where the
+    rows have a place of `content`, a vote weighs by it (`CONTENT_WEIGHTS`).
     """
     values = {"title": alnum_key(F.col("title")), "url": F.col("url"), "publisher": alnum_key(F.col("publisher")), "published_at": F.col("utc_us").cast("string")}
-    wide = rows.select("duplicate_cluster_id", "key", F.coalesce(F.col(source), F.lit("")).alias("source"), *[v.alias(f) for f, v in values.items()])
-    long = wide.select("duplicate_cluster_id", "key", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])))
+    weight = F.element_at(F.array(*map(F.lit, CONTENT_WEIGHTS)), F.col("content") + 1) if "content" in rows.columns else F.lit(1.0)
+    wide = rows.select("duplicate_cluster_id", "key", F.coalesce(F.col(source), F.lit("")).alias("source"), weight.alias("weight"), *[v.alias(f) for f, v in values.items()])
+    long = wide.select("duplicate_cluster_id", "key", "source", "weight", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])))
     claims = written(
-        long.where(~is_blank(F.col("value"))).groupBy("duplicate_cluster_id", "field_name", "value", "source").agg(F.count("*").alias("n"), F.min("key").alias("first_key")),
+        long.where(~is_blank(F.col("value"))).groupBy("duplicate_cluster_id", "field_name", "value", "source").agg(F.sum("weight").alias("n"), F.min("key").alias("first_key")),
         "claims",
     )
     trust = written(claims.groupBy("source").agg(F.sum("n").alias("n")).select("source", F.lit(0.8).alias("trust")), "trust")
@@ -114,6 +119,8 @@ def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 20,
         trust = now
         if moved is None or moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"reliabilities still move by {moved} after {rounds} rounds")
     ranked = supported().groupBy("duplicate_cluster_id", "field_name").agg(
         F.min(F.struct((-F.round("support", 9)).alias("s"), "best_key", "value")).alias("m")
     )

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from claimloom.llm import survivors
 
 CAND = "run_id string, key string, title string, text string, snippet string, url string, publisher string, published_at string, provider string, kind string, content_status string, retrieved_at timestamp"
@@ -52,3 +54,18 @@ def test_full_width_date_finds_its_outlet(spark):
     rows = [("k3", "T", "text", None, None, "０２／０１／２０２５ １０：００", "web", "full", 1), ("k2", "T", "text", None, "P", "2025-01-01T00:00:00Z", "web", "full", 1)]
     got = {r.key: r.utc_us for r in made(spark, rows, [("k3", "c"), ("k2", "c")]).collect()}
     assert got == {"k3": 1735786800 * 1_000_000, "k2": 1735689600 * 1_000_000}
+
+
+def test_truth_discovery_settles_or_fails(spark):
+    rows = [(f"c{c}", f"{c}{p}", t, None, None, None, p) for c in range(9) for p, t in (("a", "x"), ("b", "x" if c % 3 else "y"), ("d", "y"))]
+    df = spark.createDataFrame(rows, "duplicate_cluster_id string, key string, title string, url string, publisher string, utc_us long, provider string")
+    with pytest.raises(RuntimeError, match="still move"):
+        survivors.truth_discovery(df, rounds=1)
+    got, finer = ({r.duplicate_cluster_id: (r.value, r.support) for r in survivors.truth_discovery(df, tolerance=t).collect()} for t in (1e-4, 1e-6))
+    assert all(got[c][0] == finer[c][0] and abs(got[c][1] - finer[c][1]) < 0.01 for c in finer)
+
+
+def test_truth_discovery_weighs_content(spark):
+    rows = [("k1", "Snippet", " ", None, None, None, "web", "full", 1), ("k2", "Snippet", "text", None, None, None, "web", "snippet only", 1), ("k3", "Whole", "text", None, None, None, "web", "full", 1)]
+    got = survivors.truth_discovery(made(spark, rows, [(k, "c") for k in ("k1", "k2", "k3")])).where("field_name = 'title'").first()
+    assert got.best_key == "k3" and abs(got.support - 1 / 1.75) < 1e-6
