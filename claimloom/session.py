@@ -30,32 +30,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session.
+    """The folder all executors share: `spark.checkpoint.dir` of the session, or what `setCheckpointDir` set.
 
-    Only where that is unset (local tests) a temporary folder is made.
+    Only where neither is set (local tests) a temporary folder is made; on a
+    cluster that is an error, since other machines would not see it.
     """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("claimloom.local.dir", None)
     if at:
         return at
-    at = spark.conf.get("claimloom.local.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="claimloom-")
-        spark.conf.set("claimloom.local.dir", at)
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    at = "file://" + tempfile.mkdtemp(prefix="claimloom-")
+    spark.conf.set("claimloom.local.dir", at)
     return at
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` to the shared folder once and reads it back."""
+    """Cuts the lineage: writes `df` to the shared folder once and reads it back.
+
+    Shuffle files of the write are let go of as soon as it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
+def dropped(*frames: DataFrame) -> None:
     """Deletes what `written` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in frames:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
