@@ -1,18 +1,29 @@
 """Near-duplicate records with small edits (problem 6).
 
 Records become sets of hashed word shingles; records with equal sets form a
-class, and only one row per class goes on.  Similar classes are found by an
-exact set-similarity join and every candidate is verified on its sets.
-
-`similar_classes` is the join used at low thresholds.  A sketch of fixed size
-counts shingles over the whole corpus.  A shingle counted once occurs in no
-other record, so it can only count against a pair; it stays in a set's size but
-is never indexed.  Of the others a set indexes its rarest ones, just as many as
-can be missing from a partner plus one: two sets similar enough share at least
-one of them.  Counts in the sketch can only be too high, which costs candidates
-but never a pair.  Sizes and positions rule out most candidates in the join.
-
-The README says why universe-partition pigeonhole is not used at 0.5.
+class, and only one row per class goes on.  `similar_classes` finds the similar
+classes exactly, by a pigeonhole over a partition of the universe of shingles:
+
+* A sketch sized by the corpus counts the classes each shingle occurs in.  A
+  shingle met once is in no other class: it stays in a set's size but can count
+  only against a pair, so it is left out.  Counts can only be too high, which
+  costs candidates and never a pair.
+* Sets are banded by size, powers of two.  Each band cuts the universe into
+  segments of its own, so that a set of the band has about two shingles in each.
+* A set is indexed in its own band by the subsets of its segments: each shingle
+  and each two shingles of a segment.
+* Each set looks for partners of its size or less, in its own band and the bands
+  below that may hold them.  Of its shingles at most A may be missing from a
+  partner, so of any A + 1 disjoint subsets one lies wholly in the partner, in
+  the same segment.  Subsets are two neighbours of a segment, worth one unit, or,
+  as its one-deletion neighbourhood, both apart, worth two; left over ones are
+  single.  Which A + 1 units are looked up is a matter of cost: those whose
+  rarest shingle is rarest.
+* Two bitmaps, of the subsets indexed (counted) and of those looked up, drop rows
+  of either side that cannot meet, before anything is shuffled.
+* Every candidate is verified on its whole sets, with 64 bits of each shingle.
+
+Shuffled rows are a subset's hash, a record and its size: a text is read once.
 """
 
 from __future__ import annotations
@@ -30,15 +41,12 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..session import dropped, written
 
-SLOTS = 1 << 26
 RANGES = 16
+#: Numbers of slots a sketch may have, as powers of two; within them it is sized by what it counts.
+LEAST_SLOTS, MOST_SLOTS = 16, 28
 FLUSH = 2_000_000
-#: Sets are stored, joined and compared by 48 bits of each hash: two sets of 1,000 differ by chance once in 10^8 pairs.
-KEPT_BITS = np.uint64((1 << 48) - 1)
-#: Shingles counted beyond those that suffice to find a pair: more rows to join, fewer sets to compare.
-EXTRA = 4
-#: Ids of copies up to which they are broadcast; beyond, they are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Segments of a band per size of its smallest set.
+SEGMENTS = 0.75
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _WORDS: dict[str, int] = {}
 
@@ -62,56 +70,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     for k in range(width):
         g = (g ^ (g >> np.uint64(31))) * _A + h[k : k + len(g)] * _B
         g = (g ^ (g >> np.uint64(29))) * _C
-    return np.unique(g)
+    g.sort()
+    return g[np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))] if len(g) else g
 
 
-def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, str]]:
-    for i, title, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-        if text is not None and text.strip():
-            yield i, f"{title or ''} {text}"
-
-
-def _narrow(records: DataFrame, row_id: str, title: str, text: str) -> DataFrame:
-    return records.select(F.col(f"`{row_id}`").cast("bigint"), F.col(f"`{title}`"), F.col(f"`{text}`"))
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def classes_and_slots(records: DataFrame, width: int) -> DataFrame:
-    """One pass: `rec_id, h1, h2` of each record, and blocks of the sketch slots its shingles fall in."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size = [], 0
-
-        def blocks() -> pa.RecordBatch:
-            slots = np.sort(np.concatenate(pending) & np.uint64(SLOTS - 1)).astype(np.uint32)
-            cut = np.searchsorted(slots, np.arange(1, RANGES) * (SLOTS // RANGES))
-            parts = np.split(slots, cut)
-            none = pa.nulls(RANGES, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(range(RANGES), pa.int32()), pa.array([_pack(x) for x in parts], pa.binary())], names=names)
-
-        names = ["rec_id", "h1", "h2", "range", "slots"]
-        for b in batches:
-            ids, h1, h2 = [], [], []
-            for i, t in _texts(b):
-                g = shingle_hashes(t, width)
-                d = xxhash.xxh3_128_intdigest(g.tobytes())
-                ids.append(i)
-                h1.append(_signed(d >> 64))
-                h2.append(_signed(d & (1 << 64) - 1))
-                pending.append(g)
-                size += len(g)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-            if size > FLUSH:
-                yield blocks()
-                pending, size = [], 0
-        if size:
-            yield blocks()
-
-    return records.mapInArrow(scan, "rec_id bigint, h1 bigint, h2 bigint, range int, slots binary")
+# --- sketches ------------------------------------------------------------------
 
 
 def _pack(slots: np.ndarray) -> bytes:
@@ -135,108 +98,340 @@ def _unpack(data: bytes) -> np.ndarray:
     return at[gaps != 65535]
 
 
-def _levels(blocks: DataFrame) -> bytes:
-    """The sketch: of each slot the bit length of its count, 0 to 15, two slots a byte."""
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class _Blocks:
+    """Hashes on their way into sketches: kept until there are many, then given out as blocks of slots by range."""
+
+    SCHEMA = "sketch int, range int, slots binary"
+
+    def __init__(self, bits: dict[int, int]) -> None:
+        self.bits, self.held, self.size = bits, {k: [] for k in bits}, 0
+
+    def add(self, sketch: int, hashes: np.ndarray) -> None:
+        self.held[sketch].append(hashes)
+        self.size += len(hashes)
+
+    def full(self) -> bool:
+        return self.size > FLUSH
+
+    def flush(self) -> pa.RecordBatch:
+        rows = []
+        for sketch, held in self.held.items():
+            slots = np.sort(_slot(np.concatenate(held), self.bits[sketch])) if held else np.empty(0, np.int64)
+            cut = np.searchsorted(slots, np.arange(1, RANGES) * ((1 << self.bits[sketch]) // RANGES))
+            rows += [(sketch, k, _pack(part)) for k, part in enumerate(np.split(slots, cut)) if len(part)]
+            self.held[sketch] = []
+        self.size = 0
+        arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["sketch", "range", "slots"])
+
+
+def _bits_for(count: int) -> int:
+    """Slots, as a power of two, for so many hashes: between two and four a hash while the bound allows."""
+    return max(LEAST_SLOTS, min(MOST_SLOTS, int(count).bit_length() + 1))
+
+
+def _levels(blocks: DataFrame, bits: dict[int, int]) -> dict[int, bytes]:
+    """The sketches: of each slot the bit length of its count, at most 15, two slots a byte."""
 
     def merge(key, table):  # noqa: ANN001, ANN202
-        width = SLOTS // RANGES
-        base = int(key[0].as_py()) * width
+        sketch, k = key[0].as_py(), key[1].as_py()
+        width = (1 << bits[sketch]) // RANGES
         count = np.zeros(width, np.uint32)
         for data in table.column("slots").to_pylist():
-            at = _unpack(data) - base
+            at = _unpack(data) - k * width
             first = np.flatnonzero(np.diff(at, prepend=-1))
             count[at[first]] += np.diff(np.append(first, len(at))).astype(np.uint32)
         level = np.minimum(np.ceil(np.log2(count + 1.0)), 15).astype(np.uint8)
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())})
+        return pa.table({"sketch": pa.array([sketch], pa.int32()), "range": pa.array([k], pa.int32()), "level": pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())})
 
-    rows = blocks.where("range is not null").select("range", "slots").groupBy("range").applyInArrow(merge, "range int, level binary").collect()
-    got = {r["range"]: bytes(r["level"]) for r in rows}
-    empty = bytes(SLOTS // RANGES // 2)
-    return b"".join(got.get(k, empty) for k in range(RANGES))
+    rows = blocks.groupBy("sketch", "range").applyInArrow(merge, "sketch int, range int, level binary").collect()
+    got = {(r["sketch"], r["range"]): bytes(r["level"]) for r in rows}
+    return {s: b"".join(got.get((s, k), bytes((1 << b) // RANGES // 2)) for k in range(RANGES)) for s, b in bits.items()}
 
 
-def least_overlap(size_sum: int, threshold: float) -> int:
-    """The smallest overlap of two sets of these sizes together at the threshold."""
-    return math.ceil(size_sum * threshold / (1 + threshold) - 1e-9)
+def _look(levels: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    slot = _slot(hashes, bits)
+    return levels[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8) & 15
+
+
+# --- sets and their subsets ----------------------------------------------------
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+    for i, title, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+        if text is not None and text.strip():
+            yield i, f"{title or ''} {text}"
 
 
-def indexed_sets(records: DataFrame, width: int, threshold: float, levels: bytes) -> DataFrame:
-    """`rec_id, size, kept, prefix, shingles`: sets that can have a partner, rarest shingles first."""
-    sc = records.sparkSession.sparkContext
-    shared = sc.broadcast(levels)
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def shingle_sets(records: DataFrame, width: int) -> DataFrame:
+    """`rec_id, h1, h2, shingles` of each record whose text isn't blank; h1 and h2 are the hash of its whole set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            ids, sizes, kept, prefix, flat, ends = [], [], [], [], [], [0]
+            ids, h1, h2, sets = [], [], [], []
             for i, t in _texts(b):
                 g = shingle_hashes(t, width)
-                slot = (g & np.uint64(SLOTS - 1)).astype(np.int64)
-                level = packed[slot >> 1] >> ((slot & 1) * 4).astype(np.uint8) & 15
-                own = level > 1
-                n, m = len(g), int(own.sum())
-                need = least_overlap(n + math.ceil(n * threshold - 1e-9), threshold)
-                if m < need or not m:
-                    continue
-                g, level = g[own], level[own]
+                d = xxhash.xxh3_128_intdigest(g.tobytes())
                 ids.append(i)
-                sizes.append(n)
-                kept.append(m)
-                prefix.append(m - need + 1)
-                flat.append(g[np.lexsort((g, level))] & KEPT_BITS)
-                ends.append(ends[-1] + m)
-            values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            arrays = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (sizes, kept, prefix)), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rec_id", "size", "kept", "prefix", "shingles"])
+                h1.append(_signed(d >> 64))
+                h2.append(_signed(d & (1 << 64) - 1))
+                sets.append(g)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            arrays = [*(pa.array(x, pa.int64()) for x in (ids, h1, h2)), _lists(flat, np.array(list(map(len, sets)), np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rec_id", "h1", "h2", "shingles"])
+
+    return records.mapInArrow(scan, "rec_id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
+
+
+def least_overlap(size_sum: np.ndarray | int, threshold: float) -> np.ndarray:
+    """The smallest overlap of two sets of these sizes together at the threshold."""
+    return np.ceil(np.asarray(size_sum) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+
+
+def smallest_partner(size: np.ndarray, threshold: float) -> np.ndarray:
+    return np.maximum(np.ceil(size * threshold - 1e-9).astype(np.int64), 1)
+
+
+class _Sets:
+    """The sets of one batch, laid end to end: `ids, size` and the sorted `h` of set `of`."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, h: np.ndarray, kept: np.ndarray) -> None:
+        self.ids, self.size, self.h, self.kept = ids, size.astype(np.int64), h, kept.astype(np.int64)
+        self.of = np.repeat(np.arange(len(ids)), self.kept)
+
+    @staticmethod
+    def read(b: pa.RecordBatch) -> _Sets:
+        column = b.column("shingles")
+        ends = column.offsets.to_numpy()
+        return _Sets(b.column("rec_id").to_numpy(), b.column("size").to_numpy(), column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(ends))
+
+    def only(self, mask: np.ndarray) -> _Sets:
+        return _Sets(self.ids[mask], self.size[mask], self.h[mask[self.of]], self.kept[mask])
+
+
+def band_of(size: np.ndarray) -> np.ndarray:
+    return np.frexp(size.astype(np.float64))[1] - 1
+
+
+def _segment(h: np.ndarray, band: int) -> np.ndarray:
+    """The segment of each hash: non-decreasing in the hash, so a sorted set lies segment by segment."""
+    count = max(1, min(int(2.0**band * SEGMENTS), (1 << 32) - 1))
+    return ((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+
+
+def _one(h: np.ndarray, band: int) -> np.ndarray:
+    x = (h + np.uint64(band)) * _A
+    return (x ^ (x >> np.uint64(32))) * _C
+
+
+def _two(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(29))) * _B + (b + np.uint64(band)) * _A
+    return (x ^ (x >> np.uint64(32))) * _C
+
+
+def index_subsets(sets: _Sets, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """`(hash, set number)` of all subsets by which the sets are indexed, each in its own band.
+
+    Only sets that can have a partner of their size or more are indexed.
+    """
+    able = sets.kept >= least_overlap(2 * sets.size, threshold)
+    bands = band_of(sets.size)
+    hashes, of = [], []
+    for band in np.unique(bands[able]):
+        at = np.flatnonzero((able & (bands == band))[sets.of])
+        h, own = sets.h[at], sets.of[at]
+        place = own.astype(np.uint64) << np.uint64(32) | _segment(h, band)
+        hashes.append(_one(h, band))
+        of.append(own)
+        i = np.arange(len(h) - 1)
+        for d in range(1, len(h)):
+            i = i[i + d < len(h)]
+            i = i[place[i] == place[i + d]]
+            if not len(i):
+                break
+            hashes.append(_two(h[i], h[i + d], band))
+            of.append(own[i])
+    none = np.empty(0, np.uint64)
+    return np.concatenate(hashes or [none]), np.concatenate(of or [none.astype(np.int64)])
+
+
+def lookup_subsets(sets: _Sets, levels: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(hash, set number, own band)` of the subsets each set looks up; `levels` are those of its shingles."""
+    bands = band_of(sets.size)
+    least = smallest_partner(sets.size, threshold)
+    hashes, of, own_band = [], [], []
+    for band in range(int(band_of(least).min()) if len(least) else 0, int(bands.max()) + 1 if len(bands) else 0):
+        low = np.maximum(least, int(2.0**band))
+        missing = sets.kept - least_overlap(sets.size + low, threshold)
+        mask = (band_of(least) <= band) & (bands >= band) & (low <= sets.size) & (missing >= 0)
+        if not mask.any():
+            continue
+        at = np.flatnonzero(mask[sets.of])
+        h, own, level = sets.h[at], sets.of[at], levels[at].astype(np.int64)
+        place = own.astype(np.uint64) << np.uint64(32) | _segment(h, band)
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sizes = np.diff(np.append(begins, len(h)))
+        nth = np.arange(len(h)) - np.repeat(begins, sizes)
+        left = np.repeat(sizes, sizes) - nth
+        first = np.flatnonzero((nth % 2 == 0) & (left > 1))  # with its neighbour, a subset of two
+        alone = np.flatnonzero((nth % 2 == 0) & (left == 1))
+        low_level, high_level = np.minimum(level[first], level[first + 1]), np.maximum(level[first], level[first + 1])
+        # What one more unit costs: a subset of two, then its two shingles apart instead; or a single one.
+        what = np.concatenate([np.zeros(len(first), np.int8), np.ones(len(first), np.int8), np.full(len(alone), 2, np.int8)])
+        at = np.concatenate([first, first, alone])
+        cost = np.concatenate([low_level * 32 + high_level, high_level * 32 + 24, level[alone] * 32 + 16])
+        order = np.lexsort((at, cost, own[at]))
+        what, at = what[order], at[order]
+        who = own[at]
+        begins = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+        taken = rank <= missing[who]
+        what, at = what[taken], at[taken]
+        apart = at[what == 1]
+        whole = np.setdiff1d(at[what == 0], apart, assume_unique=True)
+        single = np.concatenate([apart, apart + 1, at[what == 2]])
+        hashes += [_two(h[whole], h[whole + 1], band), _one(h[single], band)]
+        of += [own[whole], own[single]]
+        own_band += [bands[own[whole]] == band, bands[own[single]] == band]
+    none = np.empty(0, np.int64)
+    return np.concatenate(hashes or [none.view(np.uint64)]), np.concatenate(of or [none]), np.concatenate(own_band or [none.astype(bool)])
+
+
+# --- the join ------------------------------------------------------------------
+
+
+def _count_shingles(firsts: DataFrame, bits: int) -> DataFrame:
+    """Blocks of a sketch of all shingles; `firsts` has one set of each class."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks({0: bits})
+        for b in batches:
+            blocks.add(0, b.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            if blocks.full():
+                yield blocks.flush()
+        yield blocks.flush()
+
+    return firsts.select("shingles").mapInArrow(scan, _Blocks.SCHEMA)
+
+
+def _met_again(firsts: DataFrame, threshold: float, sketch: object, bits: int) -> DataFrame:
+    """`rec_id, size, shingles`: sets without the shingles met once, where enough are left for a partner."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(sketch.value, np.uint8)
+        for b in batches:
+            sets = _Sets.read(b)
+            again = _look(levels, sets.h, bits) > 1
+            kept = np.bincount(sets.of[again], minlength=len(sets.ids))
+            some = (kept >= least_overlap(sets.size + smallest_partner(sets.size, threshold), threshold)) & (kept > 0)
+            arrays = [pa.array(sets.ids[some], pa.int64()), pa.array(sets.size[some], pa.int32()), _lists(sets.h[again & some[sets.of]], kept[some])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rec_id", "size", "shingles"])
+
+    return firsts.select("rec_id", "size", "shingles").mapInArrow(scan, "rec_id bigint, size int, shingles array<bigint>")
+
+
+_INDEXED, _LOOKED_UP = 0, 1
+
+
+def _count_subsets(sets: DataFrame, threshold: float, sketch: object, bits: int, wide: int) -> DataFrame:
+    """Blocks of the two sketches of subsets: those indexed and those looked up."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(sketch.value, np.uint8)
+        blocks = _Blocks({_INDEXED: wide, _LOOKED_UP: wide})
+        for b in batches:
+            own = _Sets.read(b)
+            blocks.add(_INDEXED, index_subsets(own, threshold)[0])
+            blocks.add(_LOOKED_UP, np.unique(lookup_subsets(own, _look(levels, own.h, bits), threshold)[0]))
+            if blocks.full():
+                yield blocks.flush()
+        yield blocks.flush()
+
+    return sets.mapInArrow(scan, _Blocks.SCHEMA)
+
+
+def _indexed(sets: DataFrame, threshold: float, asked: object, wide: int) -> DataFrame:
+    """`subset, y, size_y, reach`: where each set can be found, and the size of its largest possible partner."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looked_up = np.frombuffer(asked.value, np.uint8)
+        for b in batches:
+            own = _Sets.read(b)
+            hashes, of = index_subsets(own, threshold)
+            some = _look(looked_up, hashes, wide) > 0
+            hashes, of = hashes[some], of[some]
+            share = threshold / (1 + threshold)
+            reach = np.minimum(np.floor(own.kept / share + 1e-6) - own.size, np.floor(own.size / threshold + 1e-6)).astype(np.int32)
+            arrays = [pa.array(hashes.view(np.int64)), pa.array(own.ids[of], pa.int64()), pa.array(own.size[of], pa.int32()), pa.array(reach[of], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["subset", "y", "size_y", "reach"])
+
+    return sets.mapInArrow(scan, "subset bigint, y bigint, size_y int, reach int")
+
+
+def _looked_up(sets: DataFrame, threshold: float, sketch: object, bits: int, there: object, wide: int) -> DataFrame:
+    """`subset, x, size_x`: what each set looks up, where any other set is indexed by it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, indexed = np.frombuffer(sketch.value, np.uint8), np.frombuffer(there.value, np.uint8)
+        for b in batches:
+            own = _Sets.read(b)
+            hashes, of, home = lookup_subsets(own, _look(levels, own.h, bits), threshold)
+            # In its own band a set meets itself, if it is indexed.
+            itself = home & (own.kept >= least_overlap(2 * own.size, threshold))[of]
+            some = _look(indexed, hashes, wide) > itself
+            hashes, of = hashes[some], of[some]
+            arrays = [pa.array(hashes.view(np.int64)), pa.array(own.ids[of], pa.int64()), pa.array(own.size[of], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["subset", "x", "size_x"])
 
-    return records.mapInArrow(scan, "rec_id bigint, size int, kept int, prefix int, shingles array<bigint>")
+    return sets.mapInArrow(scan, "subset bigint, x bigint, size_x int")
 
 
-def similar_classes(records: DataFrame, threshold: float, width: int, row_id: str = "rec_id", title: str = "title", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def similar_classes(
+    records: DataFrame, threshold: float, width: int, row_id: str = "rec_id", title: str = "title", text: str = "text", broadcast_rows: int = 1_000_000
+) -> tuple[DataFrame, DataFrame]:
     """`(members, pairs)`: `rec_id, rep` of every record, and `a, b, overlap, size_sum` of similar classes.
 
-    A class is named by its smallest record; a < b.
+    A class is named by its smallest record; a < b.  Records whose text is null
+    or blank are in no class; of repeated ids each row counts.  Ids of copies are
+    left out by a broadcast up to `broadcast_rows` of them, else by a shuffled join.
     """
-    rows = _narrow(records, row_id, title, text)
-    first = written(classes_and_slots(rows, width), "shingles")
-    marks = first.where("rec_id is not null").select("rec_id", "h1", "h2")
-    reps = marks.groupBy("h1", "h2").agg(F.min("rec_id").alias("rep"))
-    members = written(marks.join(reps, ["h1", "h2"]).select("rec_id", "rep"), "members")
-    levels = _levels(first)
-    dropped(first)
-    sets = indexed_sets(rows, width, threshold, levels)
+    rows = records.select(F.col(f"`{row_id}`").cast("bigint"), F.col(f"`{title}`"), F.col(f"`{text}`"))
+    every = written(shingle_sets(rows, width).withColumn("size", F.size("shingles")), "shingles")
+    marks = every.select("rec_id", "h1", "h2")
+    members = written(marks.join(marks.groupBy("h1", "h2").agg(F.min("rec_id").alias("rep")), ["h1", "h2"]).select("rec_id", "rep"), "members")
     copies = members.where("rec_id <> rep").select("rec_id")
-    few = copies.count() <= BROADCAST_ROWS
-    sets = written(sets.join(F.broadcast(copies) if few else copies, "rec_id", "left_anti"), "sets")
-    share = threshold / (1 + threshold)
-    ix = sets.select("rec_id", "size", "kept", "prefix", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "shingle"))
-    # Four small numbers in one, or in two where a set is large: rows of the index are many.
-    parts = ["size", "kept", "prefix", "pos"]
-    if (sets.agg(F.max("size")).first()[0] or 0) < 1 << 16:
-        packed = sum((F.shiftleft(F.col(p).cast("long"), 48 - 16 * i) for i, p in enumerate(parts)), F.lit(0).cast("long"))
-        ix = ix.select("shingle", "rec_id", packed.alias("info"))
-        get = lambda k, p: F.shiftrightunsigned(f"{k}.info", 48 - 16 * parts.index(p)).bitwiseAND(F.lit(0xFFFF))
-    else:
-        ix = ix.select("shingle", "rec_id", *parts)
-        get = lambda k, p: F.col(f"{k}.{p}").cast("long")
-    a, b = ix.alias("a"), ix.alias("b")
-    n_a, n_b = get("a", "size"), get("b", "size")
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rec_id") < F.col("b.rec_id")) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * threshold - 1e-9))
-    met = met.withColumn("need", F.ceil((n_a + n_b) * share - 1e-9))
-    # As many of its rarest shingles as can be missing from the other, one more, and EXTRA to count.
-    upto = {k: F.least(get(k, "prefix"), get(k, "kept") - F.col("need") + 1 + EXTRA) for k in "ab"}
-    met = met.where((get("a", "pos") < upto["a"]) & (get("b", "pos") < upto["b"]))
-    # Common shingles are those met here, and at most what lies behind the counted part of one of the two.
-    least = F.col("need") - F.greatest(get("a", "kept") - upto["a"], get("b", "kept") - upto["b"])
-    met = met.select(F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"), least.cast("int").alias("least"))
-    met = written(met.groupBy("a", "b", "least").agg(F.count("*").alias("met")).where("met >= least").select("a", "b"), "candidates")
-    # Only sets that some candidate needs are sent on.
-    asked = met.select(F.explode(F.array("a", "b")).alias("rec_id")).distinct()
-    sets = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "rec_id", "left_semi")
+    firsts = every.join(F.broadcast(copies) if copies.count() <= broadcast_rows else copies, "rec_id", "left_anti")
+    sc = rows.sparkSession.sparkContext
+    bits = _bits_for(every.agg(F.sum("size")).first()[0] or 0)
+    sketch = sc.broadcast(_levels(_count_shingles(firsts, bits), {0: bits})[0])
+    sets = written(_met_again(firsts, threshold, sketch, bits), "sets")
+    dropped(every)
+    wide = _bits_for(2 * (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0))
+    both = _levels(_count_subsets(sets, threshold, sketch, bits, wide), {_INDEXED: wide, _LOOKED_UP: wide})
+    index = _indexed(sets, threshold, sc.broadcast(both[_LOOKED_UP]), wide)
+    look = _looked_up(sets, threshold, sketch, bits, sc.broadcast(both[_INDEXED]), wide)
+    smaller = (F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("y") < F.col("x")))
+    met = look.join(index, "subset").where(smaller & (F.col("size_x") <= F.col("reach")))
+    met = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
     side = lambda k: sets.select(F.col("rec_id").alias(k), F.col("size").alias(f"size_{k}"), F.col("shingles").alias(f"set_{k}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size_sum"), F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
-    return members, both.where(F.col("overlap") >= F.col("size_sum") * share - 1e-9)
+    checked = met.join(side("a"), "a").join(side("b"), "b")
+    checked = checked.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size_sum"), F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
+    pairs = written(checked.where(F.col("overlap") >= F.col("size_sum") * (threshold / (1 + threshold)) - 1e-9), "pairs")
+    dropped(met)
+    dropped(sets)
+    return members, pairs
 
 
 def near_copy_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def test_near_copies_are_brute_force(spark):
     for seed, width, threshold in ((1, 3, 0.5), (2, 5, 0.8), (3, 2, 0.6)):
         rows = stories(seed, 30)
         df = spark.createDataFrame(rows, "rec_id long, title string, text string")
-        members, pairs = near_copies.similar_classes(df, threshold, width)
+        # Ids of copies broadcast or, beyond the bound, joined by shuffling: the same result.
+        members, pairs = near_copies.similar_classes(df, threshold, width, broadcast_rows=0 if seed == 2 else 1_000_000)
         got = [(r.rec_id_a, r.rec_id_b) for r in near_copies.near_copy_pairs(members, pairs).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows, width, threshold)
 
@@ -58,6 +59,31 @@ def test_near_copies_of_nothing(spark):
     assert near_copies.near_copy_pairs(*near_copies.similar_classes(df, 0.5, 3)).count() == 0
 
 
+def test_lookups_meet_every_similar_set():
+    """Of random sets over the threshold, each pair shares a subset looked up by the larger and indexed by the smaller."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for threshold in (0.3, 0.5, 0.8):
+        sets = []
+        for _ in range(60):
+            base = r.integers(0, 1 << 63, int(r.integers(1, 90)), dtype=np.uint64)
+            for _ in range(3):
+                sets.append(np.unique(np.concatenate([base[r.random(len(base)) < r.uniform(0.5, 1)], r.integers(0, 1 << 63, int(r.integers(1, 9)), dtype=np.uint64)])))
+        size = np.array(list(map(len, sets)))
+        own = near_copies._Sets(np.arange(len(sets)), size, np.concatenate(sets), size)
+        by_hash, found = {}, set()
+        for h, y in zip(*(v.tolist() for v in near_copies.index_subsets(own, threshold)), strict=True):
+            by_hash.setdefault(h, set()).add(y)
+        for h, x, _ in zip(*(v.tolist() for v in near_copies.lookup_subsets(own, r.integers(0, 16, len(own.h)).astype(np.uint8), threshold)), strict=True):
+            found |= {(x, y) for y in by_hash.get(h, ())}
+        for x, a in enumerate(sets):
+            for y, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if x != y and len(b) <= len(a) and both >= threshold * (len(a) + len(b) - both):
+                    assert (x, y) in found
+
+
 def test_slot_blocks():
     import numpy as np
 
