@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,27 +49,52 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` to the shared folder once and reads it back.
-
-    Shuffle files of the write are let go of as soon as it has ended.
-    """
+def _write(df: DataFrame, path: str) -> None:
+    """Appends `df` to `path`; shuffle files of the write are let go of as soon as it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("append").parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if was is None else spark.conf.set(_CLEAN, was)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes `df` to the shared folder once and reads it back."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_in_parts(source: DataFrame, make: Callable[[DataFrame], DataFrame], name: str, parts: int) -> DataFrame:
+    """Writes `make(source)`, a few files of a written `source` at a time, and deletes each part of `source` once it is done with.
+
+    `make` must treat rows one by one.  All parts together are in the result.
+    """
+    spark = source.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files = sorted(source.inputFiles())
+    schema = make(source).schema
+    for k in range(parts):
+        own = files[k::parts]
+        if own:
+            _write(make(spark.read.schema(source.schema).parquet(*own)), path)
+            for f in own:
+                _delete(spark, f)
+    if not files:
+        _write(make(source), path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dropped(*frames: DataFrame) -> None:
     """Deletes what `written` wrote, once nothing reads it any more."""
     for df in frames:
-        spark = df.sparkSession
         files = df.inputFiles()
         if files:
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
