@@ -71,17 +71,20 @@ def test_lookups_meet_every_similar_set():
             for _ in range(3):
                 sets.append(np.unique(np.concatenate([base[r.random(len(base)) < r.uniform(0.5, 1)], r.integers(0, 1 << 63, int(r.integers(1, 9)), dtype=np.uint64)])))
         size = np.array(list(map(len, sets)))
-        own = near_copies._Sets(np.arange(len(sets)), size, np.concatenate(sets), size)
-        by_hash, found = {}, set()
+        own = near_copies._Sets(np.arange(len(sets)), size, np.concatenate(sets), size, r.integers(0, 16, int(size.sum())))
+        by_hash, found = {}, {}
         for h, y in zip(*(v.tolist() for v in near_copies.index_subsets(own, threshold)), strict=True):
             by_hash.setdefault(h, set()).add(y)
-        for h, x, _ in zip(*(v.tolist() for v in near_copies.lookup_subsets(own, r.integers(0, 16, len(own.h)).astype(np.uint8), threshold)), strict=True):
-            found |= {(x, y) for y in by_hash.get(h, ())}
+        some = lambda hashes: np.array([min(len(by_hash.get(h, ())), 3) for h in hashes.tolist()], np.int64)
+        for h, x, slack in zip(*(v.tolist() for v in near_copies.lookup_subsets(own, threshold, some)), strict=True):
+            for y in by_hash.get(h, ()):
+                found.setdefault((x, y, slack), []).append(h)
         for x, a in enumerate(sets):
             for y, b in enumerate(sets):
                 both = len(np.intersect1d(a, b))
                 if x != y and len(b) <= len(a) and both >= threshold * (len(a) + len(b) - both):
-                    assert (x, y) in found
+                    need = near_copies.least_overlap(len(a) + len(b), threshold)
+                    assert any((p, q) == (x, y) and len(hs) >= max(1, need - slack) for (p, q, slack), hs in found.items())
 
 
 def test_slot_blocks():
