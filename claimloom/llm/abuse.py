@@ -4,12 +4,14 @@ A bidirectional gated recurrent network with attention pooling, written and
 trained in numpy.  Its input per word is a word vector (hashed) beside the mean
 of its character vectors (hashed trigrams and the word's consonants), so
 spellings that hide a word still resemble it.  It scores all windows of
-`WINDOW` words that begin every `STRIDE` words of the whole text.  The mean of a
-committee of networks of the same kind counts, trained from other seeds and with
-other shares of swapped words: single networks err on different windows.  Where
-only scores from a threshold up are asked for, a window is dropped as soon as the
-networks left could not lift its mean to it.  A document's score is that of its
-worst window.  Networks are fitted by `train` on at most
+`WINDOW` words that begin every `STRIDE` words of the whole text.  What counts is
+the geometric mean over a committee of networks of the same kind, trained from
+other seeds and with other shares of swapped words: single networks err on
+different windows, and one that is sure a window is clean weighs much.  Where only
+scores from a threshold up are asked for, a window is dropped as soon as the
+networks left could not keep its mean there; scores are at most 1, so often the
+first network settles it, and the scores given out are the same.  A document's
+score is that of its worst window.  Networks are fitted by `train` on at most
 `TRAIN_DOCS` rated documents: in documents rated abusive the window that the
 current network finds worst counts as abusive, all windows of others as clean,
 and ratings the network strongly contradicts are left out of later passes.  From
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED, BUCKETS = 16, 16, 4096
 TRAIN_DOCS, UNRATED_DOCS = 16_000, 20_000
-THRESHOLD = 0.6
+THRESHOLD = 0.25
 MEMO = 150_000
 BATCH = 256
 MODEL = Path(__file__).parent / "models" / "abuse.npz"
@@ -257,9 +259,9 @@ def load_model(path: str = str(MODEL)) -> list[Network]:
 
 
 def document_scores(committee: list[Network], texts: list[str | None], least: float = 0.0) -> list[float]:
-    """The worst window's mean score of each text; 0 without words.
+    """The worst window's score of each text, the committee's geometric mean; 0 without words.
 
-    Scores from `least` up are the committee's; a lower one may come out lower still.
+    Scores from `least` up are exact; a lower one may come out higher, yet below `least`.
     """
     tokens = [surface_tokens(t) if t else [] for t in texts]
     ends = np.cumsum(list(map(len, tokens)))
@@ -279,11 +281,12 @@ def document_scores(committee: list[Network], texts: list[str | None], least: fl
         return np.concatenate([cut(r, at) for r, at in zip(every, begins, strict=True) if at])
 
     best, live, total = np.zeros(len(texts)), np.arange(len(of)), np.zeros(len(of))
-    for k, net in enumerate(committee):
-        live = live[total[live] + (len(committee) - k) >= least * len(committee) - 1e-6]
+    bound = len(committee) * np.log(least) - 1e-6 if least > 0 else -np.inf
+    for net in committee:
+        live = live[total[live] >= bound]
         if len(live):
-            total[live] += net.scores(inputs(net, live), length[live])
-    np.maximum.at(best, of, total / len(committee))
+            total[live] += np.log(np.maximum(net.scores(inputs(net, live), length[live]), 1e-12))
+    np.maximum.at(best, of, np.exp(total / len(committee)))
     return best.tolist()
 
 

@@ -114,9 +114,9 @@ def test_every_network_of_the_committee_counts():
             self.seen += len(rows)
             return np.array([self.told[r[0]] for r in rows], np.float32)
 
-    told = [(0.001, 1, 1, 1), (0.9, 0.9, 0.9, 0.9), (0.0, 0.3, 1, 1), (0.5, 0.5, 0.1, 0.2), (0.0, 0.41, 1, 1)]
+    told = [(0.001, 1, 1, 1), (0.9, 0.9, 0.9, 0.9), (0.2, 0.7, 1, 1), (0.5, 0.5, 0.1, 0.2), (1, 1, 1, 0.12)]
     texts = [f"w{i} w0 w1" for i in range(5)] + [None, "", " ".join(["w3"] * 12 + ["w1"] * 24)]
-    full = [sum(t) / 4 for t in told] + [0, 0, 0.9]
+    full = [float(np.prod(np.maximum(t, 1e-12))) ** 0.25 for t in told] + [0, 0, 0.9]
     nets = [Fixed([t[k] for t in told]) for k in range(4)]
     assert np.allclose(abuse.document_scores(nets, texts), full, atol=1e-6)
     nets = [Fixed([t[k] for t in told]) for k in range(4)]
