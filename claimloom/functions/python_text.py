@@ -1,8 +1,7 @@
-"""Text functions that need Python: full Unicode normalisation, BLAKE2 hashes, excerpts."""
+"""Text functions that need Python: full Unicode normalisation, excerpts."""
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 
@@ -33,26 +32,6 @@ def normalized_text_hash(col: Column) -> Column:
     return F.sha2(normalize_for_matching(col), 256)
 
 
-def simhash64(tokens: list[str], n: int = 4) -> int:
-    """The similarity hash with 64-bit BLAKE2 digests, as a signed number; 0 for no tokens."""
-    runs = [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)] or ([" ".join(tokens)] if tokens else [])
-    votes = [0] * 64
-    for run in runs:
-        h = int.from_bytes(hashlib.blake2b(run.encode(), digest_size=8).digest(), "big")
-        for i in range(64):
-            votes[i] += 1 if h >> i & 1 else -1
-    value = sum(1 << i for i, v in enumerate(votes) if v > 0)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def simhash_blake2(tokens: Column, n: int = 4) -> Column:
-    @F.arrow_udf(T.LongType())
-    def apply(v: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else simhash64(x, n) for x in v.to_pylist()], pa.int64())
-
-    return apply(tokens)
-
-
 def excerpt(text: str | None, wanted: set[str], limit: int = 320) -> str:
     """The stretch of at most `limit` characters from a sentence start with most wanted words.
 

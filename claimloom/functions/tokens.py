@@ -25,6 +25,11 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_TOKEN))
+
+
 def search_tokens(text: Column) -> Column:
     """Tokens in lower case, as the search index has them (B1)."""
     return F.transform(raw_tokens(text), F.lower)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.python_text import normalized_text_hash
 from ..functions.text import is_blank
 from ..functions.tokens import blake2_64, content_tokens, hamming, shingles, simhash
 from ..functions.urls import canonical_url, registrable_domain
-from ..session import written
+from ..session import dropped, written
 
 HAMMING_MAX, JACCARD_MIN, SHINGLE, MIN_TOKENS = 12, 0.7, 4, 12
 
@@ -36,30 +38,40 @@ def star_edges(df: DataFrame, key: str, by: str, basis: str) -> DataFrame:
 def near_duplicate_pairs(feats: DataFrame, jaccard_min: float = JACCARD_MIN, hamming_max: int | None = HAMMING_MAX, digest: Callable[[bytes], bytes] = blake2_64) -> DataFrame:
     """`a, b, overlap, size_sum` of rows whose shingle sets are alike (F4), by an exact prefix join.
 
-    Under one order (rare shingles first) two alike sets share one of their
-    first shingles, so only those are joined; sizes and the shared position
-    rule out most pairs before the sets are compared.  `hamming_max` also asks
-    for near similarity hashes, made with `digest`; None leaves that gate out.
-    The rule's digest is BLAKE2b; SHA-256 is for results that SQL must repeat.
+    Shingles are hashed to 64 bits in the projection that reads them, so only
+    numbers are shuffled.  One that a single row has can't be shared: it counts in
+    the row's size and goes no further.  Under one order (rare shingles first) two
+    alike sets share one of their first shingles, so only those are joined; sizes
+    and the shared position rule out most pairs before the sets are compared.
+    `hamming_max` also asks for near similarity hashes, made with `digest`, of the
+    rows that are in a pair; None leaves that gate out.  The rule's digest is
+    BLAKE2b; SHA-256 is for results that SQL must repeat.
     """
     t = int(round(jaccard_min * 100))
-    base = written(feats.where(F.col("n_tokens") >= MIN_TOKENS).select("key", "grams", F.array_distinct("grams").alias("set")), "sets")
-    rows = base.select("key", F.size("set").alias("n"), F.explode("set").alias("g"))
-    counts = rows.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = rows.join(counts, "g").withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("df", "g")))
-    need = F.ceil(F.col("n") * t / 100.0 - 1e-9)
-    prefix = ranked.where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - need + 1)).select("key", "n", "g", "pos")
+    own = feats.where(F.col("n_tokens") >= MIN_TOKENS)
+    base = own.select("key", F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("set"))
+    base = written(base.select("key", F.size("set").alias("n"), "set"), "sets")
+    rows = base.select("key", "n", F.explode("set").alias("g"))
+    counts = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    kept = rows.join(counts, "g").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("kept"))
+    # Positions count the shingles left out, which come first.
+    kept = kept.withColumn("first", F.col("n") - F.size("kept")).withColumn("upto", F.col("n") - F.ceil(F.col("n") * t / 100.0 - 1e-9) + 1 - F.col("first"))
+    prefix = kept.where("upto > 0").select("key", "n", "first", F.posexplode(F.slice("kept", F.lit(1), F.col("upto").cast("int"))).alias("at", "e"))
+    prefix = written(prefix.select("key", "n", F.col("e.g").alias("g"), (F.col("first") + F.col("at") + 1).alias("pos")), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
     least = (F.col("x.n") + F.col("y.n")) * (t / (100.0 + t)) - 1e-9
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + 1
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.key") < F.col("y.key")) & (room >= least)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    sets = base.select("key", "set")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
+    pairs = written(pairs, "pairs")
+    some = base.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    both = pairs.join(some.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(some.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("overlap"), (F.size("sa") + F.size("sb")).alias("size_sum"))
     both = both.where(F.col("overlap") * 100 >= (F.col("size_sum") - F.col("overlap")) * t)
     if hamming_max is None:
         return both
-    h = simhash(base, "key", "grams", digest)
+    both = written(both, "alike")
+    asked = both.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    h = written(simhash(own.select("key", "grams").join(asked, "key", "left_semi"), "key", "grams", digest), "simhash")
     both = both.join(h.select(F.col("key").alias("a"), F.col("hi").alias("ha"), F.col("lo").alias("la")), "a")
     both = both.join(h.select(F.col("key").alias("b"), F.col("hi").alias("hb"), F.col("lo").alias("lb")), "b")
     return both.where(hamming(F.col("ha"), F.col("hb")) + hamming(F.col("la"), F.col("lb")) <= hamming_max).select("a", "b", "overlap", "size_sum")
@@ -71,6 +83,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -
     Large-star and small-star rounds until no edge changes: every round is two
     aggregations, a hub's edges shrink to a star, and no component is ever held
     in one place.  Each round is written, so a lost executor costs one round.
+    Components of a round that still changes are never returned: it is an error
+    if `rounds` do not suffice.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
@@ -81,38 +95,68 @@ def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").distinct(), "edges")
-        changed = now.exceptAll(e).limit(1).count() + e.exceptAll(now).limit(1).count()
+        # Sets of edges of one size are equal if nothing is in one alone.
+        changed = now.count() != e.count() or not now.join(e, ["u", "v"], "left_anti").isEmpty()
+        dropped(e)
         e = now
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.select("key").distinct().join(roots, F.col("key") == F.col("u"), "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
 def stable_ids(components: DataFrame, prefix: str) -> DataFrame:
-    """`key, root, <id>`: an id made of the component's members in order."""
-    ids = components.groupBy("root").agg(F.array_sort(F.collect_set("key")).alias("m"))
-    ids = ids.select("root", F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.array_join("m", "\u001f"), 256), 1, 24)).alias("group_id"))
-    return components.join(ids, "root")
+    """`key, root, group_id`: an id made of the component's members in order.
+
+    Members stream through a digest in sorted order, so a component of any size
+    takes the memory of one row; a task meets whole components.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, running = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([root], pa.string()), pa.array([f"{prefix}_{running.hexdigest()[:24]}"], pa.string())], names=["root", "group_id"])
+
+        for b in batches:
+            for r, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if running is not None and r == root:
+                    running.update(b"\x1f" + k.encode("utf-8", "surrogatepass"))
+                else:
+                    if running is not None:
+                        yield done()
+                    root, running = r, hashlib.sha256(k.encode("utf-8", "surrogatepass"))
+        if running is not None:
+            yield done()
+
+    members = components.select("root", "key").repartition("root").sortWithinPartitions("root", "key")
+    return components.join(members.mapInArrow(digest, "root string, group_id string"), "root")
 
 
-def assign_groups(docs: DataFrame) -> DataFrame:
-    """`key, duplicate_cluster_id, independence_group_id, duplicate_of, grouping_basis` of every key (F1-F8)."""
+def assign_groups(docs: DataFrame, siblings: bool = True) -> DataFrame:
+    """`key, duplicate_cluster_id, independence_group_id, duplicate_of, grouping_basis` of every key (F1-F8).
+
+    `duplicate_of` lists a key's siblings, n - 1 for each of n members, as the
+    record asks; where clusters may be large leave them out with `siblings=False`
+    and join on the cluster id.
+    """
     feats = written(features(docs), "features")
     outlet = feats.withColumn("outlet", F.coalesce("domain", F.when(F.coalesce("publisher_fold", F.lit("")) != "", F.concat(F.lit("publisher:"), "publisher_fold"))))
     same = star_edges(feats, "key", "canonical", "same_canonical_url").unionByName(star_edges(feats, "key", "text_hash", "exact_text_hash"))
     same = written(same.unionByName(near_duplicate_pairs(feats).select("a", "b", F.lit("near_duplicate_text").alias("basis"))), "links")
     linked = same.unionByName(star_edges(outlet, "key", "outlet", "same_publisher_or_domain"))
     keys = feats.select("key")
-    dup = stable_ids(connected_components(keys, same), "dc")
+    dup = written(stable_ids(connected_components(keys, same), "dc"), "clusters")
     ind = stable_ids(connected_components(keys, linked), "ig").select("key", F.col("group_id").alias("independence_group_id"))
-    members = dup.groupBy("root").agg(F.array_sort(F.collect_set("key")).alias("m"))
     basis = linked.select(F.explode(F.array("a", "b")).alias("key"), "basis").groupBy("key").agg(F.array_sort(F.collect_set("basis")).alias("basis"))
-    out = dup.join(members, "root").join(ind, "key").join(basis, "key", "left")
-    return out.select(
-        "key", F.col("group_id").alias("duplicate_cluster_id"), "independence_group_id", F.array_except("m", F.array("key")).alias("duplicate_of"),
-        F.coalesce("basis", F.array(F.lit("singleton_no_match"))).alias("grouping_basis"),
-    )
+    out = dup.join(ind, "key").join(basis, "key", "left").withColumn("grouping_basis", F.coalesce("basis", F.array(F.lit("singleton_no_match"))))
+    ids = ["key", F.col("group_id").alias("duplicate_cluster_id"), "independence_group_id"]
+    if not siblings:
+        return out.select(*ids, "grouping_basis")
+    members = dup.groupBy("root").agg(F.array_sort(F.collect_set("key")).alias("m"))
+    return out.join(members, "root").select(*ids, F.array_except("m", F.array("key")).alias("duplicate_of"), "grouping_basis")
 
 
 def dedup_effectiveness(assignments: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import search_tokens
+from ..functions.tokens import search_tokens, token_count
+from ..session import written
 
 K1, B = 1.5, 0.75
 #: Bytes of query terms up to which they are broadcast to the postings.
@@ -23,7 +24,7 @@ def term_frequencies(corpus: DataFrame, doc: str, text: str, terms: DataFrame |
 
 def corpus_stats(corpus: DataFrame, text: str) -> DataFrame:
     """One row: the number of documents and their mean length (1 where that is 0)."""
-    n = F.size(search_tokens(F.col(text)))
+    n = token_count(F.col(text))
     mean = F.sum(n) / F.count("*")
     return corpus.agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(F.lit(1.0)).alias("avgdl"))
 
@@ -44,16 +45,19 @@ def search(queries: DataFrame, corpus: DataFrame, query: list[str], query_text:
 
     Scores are rounded to 6 places and ties fall to the smaller `doc`, so the
     order is the same on every run.  Ranks are given before hits without a
-    score are dropped.  Query terms are broadcast while they are small.
+    score are dropped.  Query terms are broadcast while they are small.  The
+    corpus is cut into tokens once: the frequencies of query terms are written,
+    and both document frequencies and scores read them.
     """
     terms = queries.select(*query, F.explode(F.array_distinct(search_tokens(F.col(query_text)))).alias("term"))
     size = queries.agg(F.sum(F.length(query_text))).first()[0] or 0
     small = size <= BROADCAST_TERMS
-    tf = term_frequencies(corpus, doc, text, terms.select("term").distinct(), small)
+    tf = written(term_frequencies(corpus, doc, text, terms.select("term").distinct(), small), "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = tf.join(F.broadcast(df) if small else df, "term").crossJoin(F.broadcast(corpus_stats(corpus, text)))
     gain = idf("n_docs", "df") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = weighted.select("term", "doc", gain.alias("gain"))
+    # Partitioned by document, scores are summed and each query's best kept before anything else is shuffled.
+    weighted = weighted.select("term", "doc", gain.alias("gain")).repartition("doc")
     hits = weighted.join(F.broadcast(terms) if small else terms, "term").groupBy(*query, "doc").agg(F.round(F.sum("gain"), 6).alias("score"))
     w = Window.partitionBy(*query).orderBy(F.desc("score"), "doc")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).where("score > 0")

@@ -16,7 +16,7 @@ from ..functions.jcs import canonical_column
 from ..functions.urls import canonical_url, registrable_domain
 from ..operators import contract, detectors, fusion, grouping, planner, provenance, ranking, retrieval, store
 from ..operators.instants import record_instants
-from ..session import table, written
+from ..session import spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2025-06-01T00:00:00Z"
@@ -35,6 +35,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The columns of `documents`, over all cores: texts are dear to cut into tokens."""
+    return spread(table(spark, d, "documents").select(*columns))
+
+
 # --- pieces of SQL -----------------------------------------------------------
 
 _quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -55,8 +60,9 @@ _SIMHASH_SQL = lambda source: (
 
 @query(f"SELECT doc_id, len({_SEARCH('text')}) AS n_search, len({_MATCH('text')}) AS n_match, len({_CONTENT('text')}) AS n_content, len(list_distinct({_CONTENT('text')})) AS n_distinct FROM documents")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = tokens.content_tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(tokens.search_tokens(F.col("text"))).alias("n_search"), F.size(tokens.match_tokens(F.col("text"))).alias("n_match"), F.size(c).alias("n_content"), F.size(F.array_distinct(c)).alias("n_distinct"))
+    n = tokens.token_count(F.col("text"))
+    c = _documents(spark, d, "doc_id", "text").select("doc_id", n.alias("n_search"), n.alias("n_match"), F.inline(F.array(F.struct(tokens.content_tokens(F.col("text")).alias("c")))))
+    return c.select("doc_id", "n_search", "n_match", F.size("c").alias("n_content"), F.size(F.array_distinct("c")).alias("n_distinct"))
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256, length(text) AS n FROM documents")
@@ -71,19 +77,21 @@ def text_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(g) AS n_shingles, len(list_distinct(g)) AS n_distinct, md5(array_to_string(g, '|')) AS digest FROM (SELECT doc_id, {_SHINGLES('t', 4)} AS g FROM (SELECT doc_id, {_CONTENT('text')} AS t FROM documents))")
 def shingle_stats(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").select("doc_id", tokens.content_tokens(F.col("text")).alias("t")).select("doc_id", tokens.shingles(F.col("t"), 4).alias("g"))
+    g = _documents(spark, d, "doc_id", "text").select("doc_id", tokens.content_tokens(F.col("text")).alias("t")).select("doc_id", tokens.shingles(F.col("t"), 4).alias("g"))
     return g.select("doc_id", F.size("g").alias("n_shingles"), F.size(F.array_distinct("g")).alias("n_distinct"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
 @query(f"WITH s AS (SELECT doc_id AS key, {_SHINGLES('t', 4)} AS grams FROM (SELECT doc_id, {_CONTENT('text')} AS t FROM documents)), h AS ({_SIMHASH_SQL('s')}) SELECT s.key AS doc_id, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM s LEFT JOIN h USING (key)")
 def simhash_sha256(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "documents").select(F.col("doc_id"), tokens.shingles(tokens.content_tokens(F.col("text")), 4).alias("grams"))
+    g = _documents(spark, d, "doc_id", "text").select("doc_id", tokens.shingles(tokens.content_tokens(F.col("text")), 4).alias("grams"))
     return tokens.simhash(g, "doc_id", "grams")
 
 
 @query()
 def simhash_blake2(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", python_text.simhash_blake2(tokens.content_tokens(F.col("text"))).alias("simhash"))
+    g = _documents(spark, d, "doc_id", "text").select("doc_id", tokens.shingles(tokens.content_tokens(F.col("text")), 4).alias("grams"))
+    h = tokens.simhash(g, "doc_id", "grams", tokens.blake2_64)
+    return h.select("doc_id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("simhash"))
 
 
 @query()
@@ -150,7 +158,7 @@ _GAIN = """gain AS (SELECT tf.doc_id, tf.term, ln(1 + (n_docs - df + 0.5e0) / (d
 
 @query(f"WITH {_TF} SELECT term, df, round(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)), 6) AS idf FROM df, st")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.document_frequencies(table(spark, d, "documents"), "doc_id", "text")
+    return retrieval.document_frequencies(_documents(spark, d, "doc_id", "text"), "doc_id", "text")
 
 
 @query(
@@ -159,7 +167,7 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10 AND score > 0"""
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.search(table(spark, d, "benchmark"), table(spark, d, "documents"), ["item_id"], "text", "doc_id", "text")
+    hits = retrieval.search(table(spark, d, "benchmark"), _documents(spark, d, "doc_id", "text"), ["item_id"], "text", "doc_id", "text")
     return hits.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
 
 
@@ -170,7 +178,7 @@ _HITS = f"""{_PLAN}, {_TF}, {_GAIN}, qt AS (SELECT DISTINCT item_id, query_id, v
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     q = written(_queries(spark, d), "queries")
-    return retrieval.search(q, table(spark, d, "documents"), ["item_id", "query_id", "variation", "query_seq"], "query", "doc_id", "text")
+    return retrieval.search(q, _documents(spark, d, "doc_id", "text"), ["item_id", "query_id", "variation", "query_seq"], "query", "doc_id", "text")
 
 
 @query(f"WITH {_HITS} SELECT queries.item_id, query_id || ':local_corpus' AS query_log_id, query, count(doc_id) AS result_count FROM queries LEFT JOIN hits USING (item_id, query_id) GROUP BY ALL")
@@ -268,7 +276,7 @@ _NEAR = f"""f AS (SELECT key, {_CONTENT("coalesce(title, '') || ' ' || coalesce(
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return written(grouping.features(table(spark, d, "dedup_candidate")), "features")
+    return written(grouping.features(spread(table(spark, d, "dedup_candidate"))), "features")
 
 
 @query(f"WITH {_NEAR} SELECT a, b, overlap, size_sum FROM near")
@@ -294,12 +302,12 @@ def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def independence_groups(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.assign_groups(table(spark, d, "dedup_candidate"))
+    return grouping.assign_groups(spread(table(spark, d, "dedup_candidate")))
 
 
 @query()
 def dedup_effectiveness(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.dedup_effectiveness(independence_groups(spark, d))
+    return grouping.dedup_effectiveness(grouping.assign_groups(spread(table(spark, d, "dedup_candidate")), siblings=False))
 
 
 @query(

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from claimloom.functions import python_text, tokens
+from claimloom.functions import tokens
 from claimloom.operators import fusion, grouping, planner, provenance, ranking, retrieval, store
 
 
@@ -114,7 +114,6 @@ def test_groups_gate_by_the_rules_hash(spark):
 
     want, other = links(tokens.blake2_64), links(tokens.sha256_64)
     assert want - other and other - want
-    assert all(value(g, tokens.blake2_64) == python_text.simhash64(texts[k]) % (1 << 64) for k, g in grams.items())
     feats = grouping.features(docs)
     assert {(x.a, x.b) for x in grouping.near_duplicate_pairs(feats, digest=tokens.sha256_64).collect()} == other
     linked = {k: {k} for k in texts}
