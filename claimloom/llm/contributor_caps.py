@@ -4,10 +4,11 @@ Of each contributor a histogram of quality is built with map-side combining
 (at most `BINS` + 1 rows a contributor and map task, mergeable over any split of
 the input).  Running sums over a histogram give the cutoff bin in which the cap
 is met; better bins stay whole, worse ones go whole, and only records of the
-cutoff bin are ranked.  Ranking is in two steps, within salted slices and then
-among the slices' best, so that a contributor with a third of all rows, even
-with one tied score, is never sorted in one task.  A cap may be a count, a
-share of the contributor's records, or both (the smaller holds).
+cutoff bin are ranked.  These are laid out by ranges of (contributor, score, tie)
+and counted per range: again only the range in which the cap falls is ranked, by
+row numbers on top of the counts before it.  So a contributor with a third of all
+rows, even with one tied score, is never sorted in one task, whatever its cap: a
+count, a share of the contributor's records, or both (the smaller holds).
 """
 
 from __future__ import annotations
@@ -16,18 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum_key, is_blank
+from ..session import written
 
 BINS = 128
-SLICES = 64
 
 
-def quality_bin(score: Column) -> Column:
-    """0 (best) to BINS - 1, then BINS for null and NaN; never decreasing as the score falls.
-
-    Scores are squeezed into (0, 1) by x / (1 + |x|), so any range will do.
-    """
-    squeezed = (score / (1 + F.abs(score)) + 1) / 2
-    at = (BINS - 1) - F.least(F.floor(squeezed * BINS), F.lit(BINS - 1))
+def quality_bin(score: Column, low: float, high: float) -> Column:
+    """0 (best) to BINS - 1 over the scores' range, then BINS for null and NaN; never decreasing as the score falls."""
+    width = high - low if high - low < float("inf") else high / 2 - low / 2
+    share = (score - low) / width if high - low < float("inf") else (score / 2 - low / 2) / width
+    at = (BINS - 1) - F.greatest(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)) if width > 0 else F.lit(0)
     at = F.when(score == float("inf"), 0).when(score == float("-inf"), BINS - 1).otherwise(at)
     return F.when(score.isNull() | F.isnan(score), BINS).otherwise(at).cast("int")
 
@@ -39,12 +38,16 @@ def beyond_cap(
 
     Within a contributor (the values of the `contributor` columns) rows are
     ordered by `score` from high to low, null and NaN last, then by `tie` from
-    low to high.  (contributor, tie) should be unique; rows equal in both are
-    ranked as one place.  An empty input gives no row.
+    low to high.  (contributor, tie) should be unique; of rows equal in both any
+    may be the last that stays.  A row with a null contributor has none and no
+    cap.  An empty input gives no row.
     """
     keys = list(contributor)
     s = F.col(f"`{score}`")
-    marked = items.withColumn("__bin", quality_bin(s)).withColumn("__neg", F.when(s.isNull() | F.isnan(s), float("inf")).otherwise(-s))
+    rows = written(items.withColumn("__neg", F.when(s.isNull() | F.isnan(s), float("inf")).otherwise(-s)), "items")
+    finite = F.when(~s.isNull() & ~F.isnan(s) & (F.abs(s) < float("inf")), s)
+    low, high = rows.agg(F.min(finite), F.max(finite)).first()
+    marked = rows.withColumn("__bin", quality_bin(s, float(low or 0), float(high or 0)))
     histogram = marked.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*keys)
     cap = F.lit(max_count).cast("bigint")
@@ -60,23 +63,21 @@ def beyond_cap(
         .agg(F.min(F.struct("__bin", (F.col("__cap") - F.col("__upto") + F.col("__n")).alias("need"))).alias("__cut"))
         .select(*keys, F.col("__cut.__bin").alias("__cut_bin"), F.col("__cut.need").alias("__need"))
     )
-    reach = marked.join(cut, keys)
-    whole = reach.where("__bin > __cut_bin")
-    border = reach.where("__bin = __cut_bin")
-    order = ["__neg", f"`{tie}`"]
-    slices = border.select(*keys, "__neg", F.col(f"`{tie}`").alias("__tie"), "__need", F.pmod(F.xxhash64(f"`{tie}`"), F.lit(SLICES)).alias("__slice"))
-    inner = Window.partitionBy(*keys, "__slice").orderBy("__neg", "__tie")
-    outer = Window.partitionBy(*keys).orderBy("__neg", "__tie")
-    best = slices.withColumn("__r", F.row_number().over(inner)).where("__r <= __need")
-    last = (
-        best.withColumn("__r", F.row_number().over(outer))
-        .where("__r = __need")
-        .select(*keys, F.col("__neg").alias("__last_neg"), F.col("__tie").alias("__last_tie"))
-    )
-    worse = (F.col(order[0]) > F.col("__last_neg")) | ((F.col(order[0]) == F.col("__last_neg")) & (F.col(order[1]) > F.col("__last_tie")))
-    over = border.join(last, keys, "left").where(F.coalesce(worse, F.lit(True)))
+    reach = written(marked.join(cut, keys).where("__bin >= __cut_bin"), "reach")
     columns = [F.col(f"`{c}`") for c in items.columns]
-    return whole.select(*columns).unionByName(over.select(*columns))
+    whole = reach.where("__bin > __cut_bin").select(*columns)
+    order = ["__neg", F.col(f"`{tie}`")]
+    border = reach.where("__bin = __cut_bin").repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+    border = written(border, "border")
+    before = F.sum("__n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = border.groupBy(*keys, "__need", "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    # Of ranges that begin before the cap and end beyond it, at most one a contributor, rows are ranked.
+    ranges = ranges.where("__before + __n > __need").select(*keys, "__range", "__before")
+    left = border.join(ranges, [*keys, "__range"])
+    after = left.where("__before >= __need").select(*columns)
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
+    last = left.where("__before < __need").withColumn("__place", place).where("__place > __need").select(*columns)
+    return whole.unionByName(after).unionByName(last)
 
 
 def latest_items(ranked_item: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ A record's canonical form is the letters and digits of its text (NFKC, case
 folded) and the canonical form of its address (parameters in sorted order).  It
 is hashed to 128 bits; counts are aggregated with map-side combining, so a form
 that a third of all rows share costs one row per map task.  A second,
-independent 64-bit hash and the length travel along as min and max: where they
-differ within one group two forms collided, and those groups alone are split
-by the second hash.
+independent 64-bit hash, seeded with the length, travels along as min and max:
+where they differ within one group two forms collided, and those groups alone are
+split by the second hash.  Members are listed by a join with the few groups of
+two and more; a hot group's members are split over tasks by the skew join of
+adaptive execution, since the group's side is one row.
 """
 
 from __future__ import annotations

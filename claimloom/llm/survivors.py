@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum_key, is_blank
 from ..functions.timestamps import DIGIT, normalize_timestamps
 from ..operators.publishers import with_publisher
-from ..session import written
+from ..session import dropped, written
 
 # Orders of trust (fixed values).
 STATUS_ORDER = ["full", "excerptonly", "snippetonly"]
@@ -83,7 +83,7 @@ def survivors(rows: DataFrame) -> DataFrame:
     return best.select("duplicate_cluster_id", F.inline(entries)).where("best_key is not null")
 
 
-def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 200, tolerance: float = 1e-4) -> DataFrame:
+def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 200, tolerance: float = 1e-4, broadcast_sources: int = 100_000) -> DataFrame:
     """`duplicate_cluster_id, field_name, value, support, best_key` of the value most supported.
 
     Support is a share in (0, 1].  Ties go to the value of the first key.
@@ -91,6 +91,9 @@ def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 200
     when none moves by more than `tolerance`.  If some still do after `rounds`,
     that is an error: values of an unsettled round are never returned.  Where the
     rows have a place of `content`, a vote weighs by it (`CONTENT_WEIGHTS`).
+    Reliabilities, a row a source, are broadcast up to `broadcast_sources` of them,
+    so that a source with a third of all claims is no hot key; beyond, sources are
+    many and joined by shuffling.
     """
     values = {"title": alnum_key(F.col("title")), "url": F.col("url"), "publisher": alnum_key(F.col("publisher")), "published_at": F.col("utc_us").cast("string")}
     weight = F.element_at(F.array(*map(F.lit, CONTENT_WEIGHTS)), F.col("content") + 1) if "content" in rows.columns else F.lit(1.0)
@@ -100,10 +103,11 @@ def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 200
         long.where(~is_blank(F.col("value"))).groupBy("duplicate_cluster_id", "field_name", "value", "source").agg(F.sum("weight").alias("n"), F.min("key").alias("first_key")),
         "claims",
     )
-    trust = written(claims.groupBy("source").agg(F.sum("n").alias("n")).select("source", F.lit(0.8).alias("trust")), "trust")
+    trust = written(claims.select("source").distinct().select("source", F.lit(0.8).alias("trust")), "trust")
+    few = trust.count() <= broadcast_sources
 
     def supported() -> DataFrame:
-        votes = claims.join(trust, "source").groupBy("duplicate_cluster_id", "field_name", "value").agg(
+        votes = claims.join(F.broadcast(trust) if few else trust, "source").groupBy("duplicate_cluster_id", "field_name", "value").agg(
             F.sum(F.col("n") * F.col("trust")).alias("w"), F.min("first_key").alias("best_key")
         )
         totals = votes.groupBy("duplicate_cluster_id", "field_name").agg(F.sum("w").alias("total"))
@@ -116,6 +120,7 @@ def truth_discovery(rows: DataFrame, source: str = "provider", rounds: int = 200
         )
         now = written(now, "trust")
         moved = now.join(trust.withColumnRenamed("trust", "was"), "source").agg(F.max(F.abs(F.col("trust") - F.col("was"))).alias("d")).first()["d"]
+        dropped(trust)
         trust = now
         if moved is None or moved <= tolerance:
             break

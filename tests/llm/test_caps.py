@@ -21,10 +21,17 @@ def test_caps_are_brute_force(spark, count, share):
 
 
 def test_bins_never_decrease(spark):
-    xs = sorted([-1e9, -3.0, -0.1, 0.0, 0.001, 0.3, 0.9, 1.0, 5.0, 1e12, float("inf"), float("-inf")], reverse=True)
-    df = spark.createDataFrame([(x,) for x in xs], "s double")
-    bins = [r[0] for r in df.select(caps.quality_bin(df["s"])).collect()]
-    assert bins == sorted(bins) and max(bins) < caps.BINS
+    for xs in ([-1e9, -3.0, -0.1, 0.0, 0.001, 0.3, 0.9, 1.0, 5.0, 1e12], [0.0, 0.2, 0.21, 1.0], [-1.7e308, 0.0, 1.7e308], [0.5]):
+        df = spark.createDataFrame([(x,) for x in sorted([*xs, float("inf"), float("-inf")], reverse=True)], "s double")
+        bins = [r[0] for r in df.select(caps.quality_bin(df["s"], min(xs), max(xs))).collect()]
+        assert bins == sorted(bins) and max(bins) < caps.BINS and bins[0] == 0
+
+
+def test_one_tied_score_over_many_ranges(spark):
+    df = spark.range(5000).selectExpr("'a' as who", "cast(id as string) as key", "0.5 as score").selectExpr("who", "key", "cast(score as double) as score")
+    order = sorted(str(i) for i in range(5000))
+    got = {r.key for r in caps.beyond_cap(df, ["who"], "score", "key", 1777).collect()}
+    assert got == set(order[1777:])
 
 
 def test_contributors(spark):
