@@ -420,10 +420,10 @@ def _dependencies(atoms: list[dict], at: str, say: Report) -> None:
                 say("DEPENDENCY_DANGLING", at, f"{a} needs {n}")
             elif n == a:
                 say("DEPENDENCY_CYCLIC", at, f"{a} needs itself")
-    # Atoms whose needs are all settled are taken away in turns; what stays is on or behind a cycle.
+    # Atoms whose needs are settled, or that no other needs, are taken away in turns; what stays is on cycles, told once a bundle.
     left = {a: {n for n in needs if n in graph} for a, needs in graph.items()}
-    while free := [a for a, needs in left.items() if not needs & left.keys()]:
-        for a in free:
+    while off := [a for a, needs in left.items() if not needs & left.keys() or not any(a in others for others in left.values())]:
+        for a in off:
             del left[a]
     if left:
         say("DEPENDENCY_CYCLIC", at, "among " + ", ".join(sorted(left)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import content_tokens, jaccard, match_tokens, shingles
+from ..session import written
 
 # Weights of the linear model (fixed values).
 WEIGHTS = {
@@ -48,12 +52,15 @@ def feature_columns(items: DataFrame, claim: str, query: str, title: str = "titl
 
 
 def rerank(items: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Adds `rerank_score`, `relevance_score` and the map `score_breakdown` (H3-H5)."""
+    """Adds `rerank_score`, `relevance_score` and the map `score_breakdown` (H3-H5), with the terms of `credibility_parts` where there are any."""
     active = WEIGHTS | (weights or {})
     given = {k: F.round(F.lit(w) * F.col(f"f_{k}"), 6) for k, w in active.items()}
     total = sum(given.values(), F.lit(0.0))
     parts = [x for k in active for x in (F.lit(f"feature.{k}"), F.round(f"f_{k}", 6), F.lit(f"contribution.{k}"), given[k])]
     df = items.withColumn("__s", total).withColumn("score_breakdown", F.create_map(*parts, F.lit("fusion_rrf"), F.round("fusion_score", 6)))
+    if "credibility_parts" in items.columns:
+        credit = F.transform_keys("credibility_parts", lambda k, v: F.concat(F.lit("credibility."), k))
+        df = df.withColumn("score_breakdown", F.map_concat("score_breakdown", F.coalesce(credit, F.create_map().cast("map<string,double>"))))
     return df.withColumn("rerank_score", F.round("__s", 6)).withColumn("relevance_score", F.round(1 / (1 + F.exp(-F.col("__s"))), 6)).drop("__s")
 
 
@@ -64,6 +71,17 @@ def strongest(breakdown: F.Column, n: int = 3) -> F.Column:
     return F.transform(F.slice(keyed, 1, n), lambda e: e["col2"])
 
 
+def reasons(breakdown: F.Column) -> F.Column:
+    """Why an item ranks as it does (H7): codes by the features' limits, then the strongest features."""
+    f = lambda k: F.coalesce(breakdown[f"feature.{k}"], F.lit(0.0))
+    told = F.array(
+        F.when(f("query_coverage") >= 0.6, "covers_claim").when(f("query_coverage") <= 0.2, "covers_little"), F.when(f("title_match") >= 0.5, "title_matches"), F.when(f("content_completeness") <= 0.3, "content_limited"),
+        F.when(f("image_match") > 0, "image_matches"), F.when(f("temporal_ineligible_penalty") > 0, "after_cutoff"), F.when(f("unknown_date_penalty") > 0, "date_unknown"),
+    )
+    top = strongest(breakdown)
+    return F.concat(F.array_compact(told), F.when(F.size(top) > 0, F.array(F.concat(F.lit("strongest:"), F.array_join(top, "+")))).otherwise(F.array().cast("array<string>")))
+
+
 def diversify(items: DataFrame, claim: str, key: str, group: str, order: str, text: str, limit: int = MAX_EVIDENCE, lam: float = MMR_LAMBDA, cap: int | None = GROUP_CAP) -> DataFrame:
     """`claim, key, place, selected`: greedy choice of relevant, unlike items, at most `cap` of a group (H8, H9).
 
@@ -118,18 +136,60 @@ def judged_metrics(ranked: DataFrame, relevant: DataFrame, query: str, doc: str,
     return df.select(query, F.round(h / k, 6).alias("precision"), F.round(h / F.col("n"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg"))
 
 
-def dense_neighbours(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 10) -> DataFrame:
+def dense_neighbours(vectors: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 10, block: int = 20_000) -> DataFrame:
     """`query, row_id, similarity, rank`: cosine neighbours of a stated query set against all rows, itself left out.
 
-    The query vectors are grouped into blocks that are broadcast one row per
-    block, so a scan of the rows meets each block once.
+    Queries go out in blocks of at most `block` vectors, one round each, so what
+    is broadcast has a fixed bound; a round multiplies a batch of rows by its block
+    in numpy, and each task keeps `k` rows a query, so little is shuffled.  Equal
+    similarities (6 places) fall to the smaller id.  Null vectors match nothing.
     """
-    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col(row_id).alias("query"), F.col(vector).alias("qv"), unit(F.col(vector)).alias("qn"))
-    d = vectors.select(F.col(row_id), F.col(vector).alias("v"), unit(F.col(vector)).alias("n"))
-    blocks = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("query", "qv", "qn")).alias("qs"))
-    pairs = d.crossJoin(F.broadcast(blocks)).select(row_id, "v", "n", F.inline("qs")).where(F.col("query") != F.col(row_id))
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    s = F.round(F.when((F.col("n") > 0) & (F.col("qn") > 0), dot / (F.col("n") * F.col("qn"))).otherwise(0.0), 6)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), row_id)
-    return pairs.select("query", row_id, s.alias("similarity")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    asked = written(queries.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v")), "queries")
+    n = asked.count()
+    rounds = max(1, -(-n // block))
+    found = None
+    for r in range(rounds):
+        own = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r)
+        got = sorted((x["q"], x["v"]) for x in own.collect())
+        sent = spark.sparkContext.broadcast((np.array([q for q, _ in got], np.int64), _unit(np.array([v for _, v in got], np.float64))))
+        part = rows.mapInArrow(_best_of(sent, k), "query bigint, i bigint, s bigint")
+        if rounds > 1:  # a round ends before the next block is sent
+            part = written(part, "neighbours")
+            sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query").orderBy(F.desc("s"), "i")
+    kept = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return kept.select("query", F.col("i").alias(row_id), F.round(F.col("s") / 1e6, 6).alias("similarity"), "rank")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero vectors stay zero."""
+    if not len(v):
+        return np.zeros((0, 1))
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _best_of(sent: object, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = sent.value
+        none = -(10**9)  # below any similarity
+        score, best = np.full((len(ids), 0), none), np.full((len(ids), 0), 0)
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            own = b.column(0).to_numpy()
+            own_unit = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+            s = np.floor(unit @ own_unit.T * 1e6 + 0.5).astype(np.int64)
+            s[ids[:, None] == own] = none
+            # The best so far and this batch together, by score, then by id.
+            score, best = np.concatenate([score, s], 1), np.concatenate([best, np.broadcast_to(own, s.shape)], 1)
+            if score.shape[1] > k:
+                order = np.lexsort((best, -score), axis=1)[:, :k]
+                score, best = np.take_along_axis(score, order, 1), np.take_along_axis(best, order, 1)
+        at = np.nonzero(score > none)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[0]]), pa.array(best[at]), pa.array(score[at])], names=["query", "i", "s"])
+
+    return scan

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_text, tokens
 from ..functions.jcs import canonical_column
-from ..functions.urls import canonical_url, registrable_domain
+from ..functions.urls import TRACKING, canonical_url, registrable_domain
 from ..operators import contract, detectors, fusion, grouping, planner, provenance, ranking, retrieval, store
 from ..operators.instants import record_instants
 from ..session import spread, table, written
@@ -94,7 +94,20 @@ def simhash_blake2(spark: SparkSession, d: str) -> DataFrame:
     return h.select("doc_id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("simhash"))
 
 
-@query()
+_NETLOC = r"regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+_HOSTPORT = f"regexp_replace({_NETLOC}, '^.*@', '')"
+_DECODED = lambda x: f"url_decode(replace({x}, '+', ' '))"
+_ENCODED = lambda x: f"replace(url_encode({x}), '%20', '+')"
+#: The comparable form of the column `url`, by the rules of `urls.canonical`.
+CANONICAL_SQL = lambda url: rf"""(SELECT CASE WHEN scheme IN ('http', 'https') AND netloc <> '' AND (port = '' OR (regexp_matches(port, '^[0-9]+$') AND CAST(port AS BIGINT) <= 65535)) THEN scheme || '://' || host
+ || CASE WHEN port = '' OR CAST(port AS BIGINT) = 0 OR CAST(port AS BIGINT) = CASE scheme WHEN 'http' THEN 80 ELSE 443 END THEN '' ELSE ':' || CAST(CAST(port AS BIGINT) AS VARCHAR) END || CASE WHEN path = '' THEN '/' ELSE path END
+ || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(list_sort(kept), lambda z: {_ENCODED('z.k')} || '=' || {_ENCODED('z.v')}), '&') ELSE '' END END
+ FROM (SELECT *, list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: {{'k': {_DECODED("regexp_extract(x, '^[^=]*')")}, 'v': {_DECODED("regexp_extract(x, '=(.*)$', 1)")}}}), lambda z: NOT list_contains({_quoted(sorted(TRACKING))}, lower(z.k))) AS kept
+ FROM (SELECT lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, {_NETLOC} AS netloc, regexp_replace(lower(regexp_extract({_HOSTPORT}, '^[^:]*')), '^www\.', '') AS host, regexp_extract({_HOSTPORT}, ':(.*)$', 1) AS port,
+ rtrim(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS q FROM (SELECT trim({url}) AS u))))"""
+
+
+@query(f"SELECT rec_id, {CANONICAL_SQL('url')} AS canonical FROM demo_corpus")
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "demo_corpus").select("rec_id", canonical_url(F.col("url")).alias("canonical"))
 
@@ -112,20 +125,6 @@ def registrable_domains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "demo_corpus").select("rec_id", registrable_domain(F.col("url")).alias("domain"))
 
 
-@query(
-    f"""SELECT rec_id, CASE WHEN NOT ({_BLANK('text')}) THEN 'full' WHEN NOT ({_BLANK('title')}) THEN 'snippet_only' ELSE 'unavailable' END AS content_status,
-    substr(text, 1, 300) AS snippet, CASE WHEN NOT ({_BLANK('id')}) THEN 'corpus:' || id WHEN NOT ({_BLANK('url')}) THEN 'url:' || url
-    ELSE 'text:' || substr(sha256(coalesce(text, '') || coalesce(title, '')), 1, 32) END AS candidate_key, coalesce(kind, 'local_corpus') AS kind FROM demo_corpus"""
-)
-def hit_projection(spark: SparkSession, d: str) -> DataFrame:
-    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    key = F.when(some("id"), F.concat(F.lit("corpus:"), "id")).when(some("url"), F.concat(F.lit("url:"), "url")).otherwise(
-        F.concat(F.lit("text:"), F.substring(F.sha2(F.concat(F.coalesce("text", F.lit("")), F.coalesce("title", F.lit(""))), 256), 1, 32))
-    )
-    status = F.when(some("text"), "full").when(some("title"), "snippet_only").otherwise("unavailable")
-    return table(spark, d, "demo_corpus").select("rec_id", status.alias("content_status"), F.substring("text", 1, 300).alias("snippet"), key.alias("candidate_key"), F.coalesce("kind", F.lit("local_corpus")).alias("kind"))
-
-
 @query()
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "candidate").select("run_id", "key", "text", F.array_distinct(tokens.content_tokens(F.col("title"))).alias("wanted"))
@@ -230,7 +229,16 @@ def rerank_scores(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).select("item_id", "doc_id", "rerank_score", "relevance_score")
 
 
-@query()
+_PARTS = {"query_coverage": 2.4, "title_match": 0.9, "body_overlap": 1.2, "fusion_prior": 1.1, "content_completeness": 0.8, "credibility": 0.6, "image_match": 0.7, "temporal_eligible": 0.5, "temporal_ineligible_penalty": -1.4, "unknown_date_penalty": -0.3, "bias": -1.5}
+_KNOWN = {"content_completeness": "1e0", "credibility": "0.5e0", "image_match": "0e0", "temporal_eligible": "0e0", "temporal_ineligible_penalty": "0e0", "unknown_date_penalty": "1e0", "bias": "1e0"}
+_VALUES = ", ".join(f"{{'part': 'feature.{k}', 'value': round({_KNOWN.get(k, k)}, 6)}}, {{'part': 'contribution.{k}', 'value': round({w}e0 * {_KNOWN.get(k, k)}, 6) + 0e0}}" for k, w in _PARTS.items())
+
+
+@query(
+    f"""WITH {_HITS}, {_FEATURES}, v AS (SELECT item_id, doc_id, [{_VALUES}, {{'part': 'fusion_rrf', 'value': round(fusion_score, 6)}}] AS l FROM z),
+    st3 AS (SELECT item_id, doc_id, l, array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(l, lambda e: e.part LIKE 'contribution.%' AND e.part <> 'contribution.bias' AND abs(e.value) > 1e-9), lambda e: {{'a': -abs(e.value), 'n': substr(e.part, 14)}})), 1, 3), lambda e: e.n), ',') AS strongest FROM v)
+    SELECT item_id, doc_id, e.part AS part, e.value AS value, strongest FROM (SELECT item_id, doc_id, unnest(l) AS e, strongest FROM st3)"""
+)
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
     r = _ranked(spark, d)
     return r.select("item_id", "doc_id", F.explode("score_breakdown").alias("part", "value"), F.array_join(ranking.strongest(F.col("score_breakdown")), ",").alias("strongest"))
@@ -258,12 +266,18 @@ def dense_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return ranking.dense_neighbours(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
-@query()
+@query(
+    f"""WITH {_TF}, {_GAIN}, q AS (SELECT DISTINCT item_id, unnest({_SEARCH('text')}) AS term FROM benchmark), s AS (SELECT item_id, doc_id, round(sum(g), 6) AS score FROM q JOIN gain USING (term) GROUP BY ALL),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10 AND score > 0),
+    gi AS (SELECT DISTINCT item_id, unnest({_SHINGLES('t', 8)}) AS g FROM (SELECT item_id, {_SEARCH('text')} AS t FROM benchmark)), gd AS (SELECT doc_id, unnest({_SHINGLES('toks', 8)}) AS g FROM tok), rel AS (SELECT DISTINCT item_id, doc_id FROM gd JOIN gi USING (g)),
+    h AS (SELECT item_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM top JOIN rel USING (item_id, doc_id) GROUP BY item_id), n AS (SELECT item_id, count(*) AS n FROM rel GROUP BY item_id)
+    SELECT item_id, round(coalesce(hits, 0) / 10e0, 6) AS precision, round(coalesce(hits, 0) / CAST(n AS DOUBLE), 6) AS recall, round(coalesce(1e0 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(n, 10) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN h USING (item_id)"""
+)
 def search_quality(spark: SparkSession, d: str) -> DataFrame:
     """BM25 judged by exact containment: a document is relevant if it holds a run of eight words of the item."""
     item = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(tokens.shingles(tokens.search_tokens(F.col("text")), 8))).alias("g"))
     doc = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tokens.shingles(tokens.search_tokens(F.col("text")), 8))).alias("g"))
-    relevant = doc.join(F.broadcast(item), "g").select("item_id", "doc_id").distinct()
+    relevant = doc.join(item, "g").select("item_id", "doc_id").distinct()
     return ranking.judged_metrics(bm25_topk(spark, d), relevant, "item_id", "doc_id")
 
 
@@ -357,16 +371,16 @@ def detector_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT run_id, key, ranked_at, relevance_score, n AS normalized, CASE WHEN n IS NULL THEN 'uncertain' WHEN n >= 0.75e0 THEN 'likely_ai_generated' WHEN n <= 0.25e0 THEN 'likely_human_or_camera' ELSE 'uncertain' END AS assessment
+    """SELECT run_id, key, ranked_at, CASE WHEN isnan(relevance_score) THEN NULL ELSE relevance_score END AS relevance_score, n AS normalized, CASE WHEN n IS NULL THEN 'uncertain' WHEN n >= 0.75e0 THEN 'likely_ai_generated' WHEN n <= 0.25e0 THEN 'likely_human_or_camera' ELSE 'uncertain' END AS assessment
     FROM (SELECT run_id, key, ranked_at, relevance_score, CASE WHEN relevance_score IS NOT NULL AND NOT isnan(relevance_score) AND relevance_score BETWEEN 0 AND 0.9 THEN round(1 - relevance_score / 0.9e0, 6) END AS n FROM ranked_item)"""
 )
 def score_normalisation(spark: SparkSession, d: str) -> DataFrame:
     n = F.round(detectors.normalize_score(F.col("relevance_score"), F.lit(0.0), F.lit(0.9), F.lit(False)), 6)
-    df = table(spark, d, "ranked_item").withColumn("normalized", n)
+    df = table(spark, d, "ranked_item").withColumn("normalized", n).withColumn("relevance_score", F.nanvl("relevance_score", F.lit(None).cast("double")))
     return df.select("run_id", "key", "ranked_at", "relevance_score", "normalized", detectors.assessment(F.lit("ok"), F.col("normalized")).alias("assessment"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS score, CASE WHEN NOT json_valid(props) THEN 'RESPONSE_MALFORMED' WHEN coalesce(json_type(props, '$.k'), 'NULL') = 'NULL' THEN 'SCORE_MISSING' WHEN json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'SCORE_NOT_A_NUMBER' END AS error_code FROM events")
 def detector_answers(spark: SparkSession, d: str) -> DataFrame:
     """Scores read out of event payloads, as a detector's answers would be."""
     e = table(spark, d, "events")
@@ -403,13 +417,6 @@ def lease_recovery(spark: SparkSession, d: str) -> DataFrame:
     return store.recover_leases(jobs, F.lit("2024-01-02").cast("timestamp_ntz")).select("event_id", "status")
 
 
-@query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderdate DESC, o_custkey, o_orderkey LIMIT 50")
-def run_history(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderdate", "o_totalprice")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
-    return o.join(c, "k").orderBy(F.desc("o_orderdate"), "k", "o_orderkey").limit(50).select("o_orderkey", "c_name", "o_totalprice")
-
-
 @query(
     """SELECT case_id, CAST(claim_revision AS INTEGER) AS claim_revision, min(coalesce(mode, '')) AS text_hash, CASE WHEN min(coalesce(mode, '')) <> max(coalesce(mode, '')) THEN 'conflict' WHEN claim_revision > 1 THEN 'insert' WHEN min(coalesce(mode, '')) = 'live' THEN 'keep' ELSE 'conflict' END AS action FROM retrieval_runs GROUP BY case_id, claim_revision"""
 )
@@ -426,7 +433,11 @@ def evidence_lists(spark: SparkSession, d: str) -> DataFrame:
     return e.select("item_id", "n_evidence", F.to_json("evidence_list").alias("evidence_json"))
 
 
-@query()
+_JSON = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || {c} || '\"' END"
+_RUN = f"""'{{"case_id":' || {_JSON('case_id')} || ',"claim_revision":' || coalesce(CAST(claim_revision AS VARCHAR), 'null') || ',"mode":' || {_JSON('mode')} || ',"run_id":' || {_JSON('run_id')} || ',"status":' || {_JSON('status')} || '}}'"""
+
+
+@query(f"SELECT run_id, j AS canonical, 'run_' || sha256(j) AS content_id FROM (SELECT run_id, {_RUN} AS j FROM retrieval_runs)")
 def canonical_records(spark: SparkSession, d: str) -> DataFrame:
     """Canonical JSON of each run and the id derived from it."""
     j = canonical_column(F.to_json(F.struct("run_id", "case_id", "claim_revision", "mode", "status"), {"ignoreNullFields": "false"}))
@@ -442,25 +453,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 # --- I: contract -------------------------------------------------------------
 
 
-@query()
-def contract_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Broken rules of bundles built of all runs, each with the evidence it ranked."""
-    runs = table(spark, d, "retrieval_runs").select("run_id", "case_id", "claim_revision", "mode", "created_at")
-    items = table(spark, d, "ranked_item").groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("key", "relevance_score"))).alias("evidence_list"))
-    made = runs.join(items, "run_id", "left")
-    text = F.to_json(
-        F.struct(
-            F.lit(contract.VERSION).alias("schema_version"), "case_id", "claim_revision", "mode", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
-            F.struct(F.col("case_id").alias("claim_text"), F.lit("id").alias("language"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("as_of")).alias("input"),
-            F.lit(None).cast("string").alias("analysis"), F.struct(F.lit(None).cast("string").alias("atom_set_id"), F.coalesce("evidence_list", F.array()).alias("evidence_list")).alias("retrieval"),
-            F.lit(None).cast("string").alias("decision"), F.array().cast("array<string>").alias("warnings"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
-    found = contract.validate(made.select("run_id", text.alias("bundle")), "run_id", "bundle")
-    return found.withColumnRenamed("row_id", "run_id").select("run_id", "code", "path")
-
-
 @query("SELECT ranked_item.run_id, key, ranked_at, CASE WHEN r.run_id IS NULL THEN 'RUN_REFERENCE_UNKNOWN' WHEN relevance_score IS NULL OR isnan(relevance_score) THEN 'NON_FINITE_NUMBER' WHEN relevance_score < 0 OR relevance_score > 1 THEN 'SCORE_OUT_OF_RANGE' WHEN kind NOT IN ('fact_check', 'news', 'official', 'web', 'image_provenance', 'local_corpus', 'user_supplied') THEN 'ENUM_INVALID' END AS code FROM ranked_item LEFT JOIN (SELECT DISTINCT run_id FROM retrieval_runs) r USING (run_id)")
 def item_violations(spark: SparkSession, d: str) -> DataFrame:
     """The first broken rule of each ranked item, null for none; references by an outer join."""

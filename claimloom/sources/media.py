@@ -1,4 +1,4 @@
-"""Images as content-addressed records."""
+"""Images as content-addressed records, and lookups among them."""
 
 from __future__ import annotations
 
@@ -66,3 +66,20 @@ def media_records(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) ->
     df = df.groupBy("sha256", "byte_size", "m").agg(F.min("path").alias("path"))
     reject: Column = F.when(F.col("byte_size") > max_bytes, "TOO_LARGE").when(F.col("m.media_type").isNull(), "UNSUPPORTED_TYPE")
     return df.select(F.concat(F.lit("asset_"), "sha256").alias("asset_id"), "sha256", "m.media_type", "m.width", "m.height", "byte_size", "path", reject.alias("reject"))
+
+
+def resolve(wanted: DataFrame, records: DataFrame, root: str, asset_id: str = "asset_id") -> DataFrame:
+    """`asset_id, path, state` of each wanted asset (A12): found, gone (known, but its bytes are missing) or unknown.
+
+    The store under `root` is listed once and no content is read.
+    """
+    known = records.where(F.col("reject").isNull()).select(F.col("asset_id").alias("__id"), "path")
+    there = records.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("__path"))
+    df = wanted.select(F.col(asset_id).alias("__want")).distinct().join(known, F.col("__want") == F.col("__id"), "left").join(there, F.col("path") == F.col("__path"), "left")
+    state = F.when(F.col("__id").isNull(), "unknown").when(F.col("__path").isNull(), "gone").otherwise("found")
+    return df.select(F.col("__want").alias("asset_id"), "path", state.alias("state"))
+
+
+def by_sha256(records: DataFrame, digest: str) -> DataFrame:
+    """The record of these bytes, if there is one."""
+    return records.where(F.col("sha256") == digest.lower())

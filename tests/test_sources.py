@@ -1,6 +1,8 @@
 import struct
+import time
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import detectors
@@ -87,3 +89,38 @@ def test_job_log_stream(spark, tmp_path):
     got = {r.job: (r.status, r.attempts, r.done) for r in stream(spark, jobs.last_states(source, "job", "status", "at"), tmp_path / "c2", "states", "update").collect()}
     assert got == {"j1": ("succeeded", 1, True), "j2": ("running", 2, False)}
     assert {r.status: r.n for r in stream(spark, jobs.throughput(source, "at", "status"), tmp_path / "c3", "rate", "complete").collect()} == {"queued": 2, "running": 3, "succeeded": 1}
+
+
+def test_only_ready_providers_run_within_the_budget(spark):
+    ran = []
+
+    def make(n, wait=0.0):
+        def go():
+            ran.append(n)
+            time.sleep(wait)
+            return spark.createDataFrame([(n,)], "x string")
+
+        return go
+
+    hits, status = corpus.gather(spark, {"a": make("a", 0.3), "off": make("off"), "late": make("late")}, written, {"off": "disabled"}, budget_s=0.2)
+    assert ran == ["a"] and [r.x for r in hits.collect()] == ["a"] and {r.provider: r.status for r in status.collect()} == {"a": "ok", "off": "disabled", "late": "skipped"}
+    assert corpus.run_status(status) == "partial" and corpus.run_status(status.where("provider <> 'late'")) == "completed"
+    with pytest.raises(KeyError):
+        corpus.gather(spark, {"mistake": lambda: {}["x"]}, written)
+
+
+def test_one_bundle_one_file(tmp_path):
+    corpus.write_bundle('{"a":"\u00e9"}', tmp_path / "b.json")
+    assert (tmp_path / "b.json").read_text(encoding="utf-8") == '{\n  "a": "é"\n}\n' and len(list(tmp_path.iterdir())) == 1
+
+
+def test_media_that_is_gone(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + bytes(8) + (5).to_bytes(4, "big") * 2
+    for i in range(2):
+        (tmp_path / f"{i}.png").write_bytes(png + bytes([i]))
+    known = written(media.media_records(spark, str(tmp_path)), "media")
+    ids = {r.path.rsplit("/", 1)[1]: r.asset_id for r in known.collect()}
+    (tmp_path / "1.png").unlink()
+    wanted = spark.createDataFrame([(ids["0.png"],), (ids["1.png"],), ("asset_x",), (ids["0.png"],)], "asset_id string")
+    assert {r.asset_id: r.state for r in media.resolve(wanted, known, str(tmp_path)).collect()} == {ids["0.png"]: "found", ids["1.png"]: "gone", "asset_x": "unknown"}
+    assert media.by_sha256(known, ids["0.png"][6:].upper()).first().asset_id == ids["0.png"]
