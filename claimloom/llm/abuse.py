@@ -16,7 +16,8 @@ score is that of its worst window.  Networks are fitted by `train` on at most
 current network finds worst counts as abusive, all windows of others as clean,
 and ratings the network strongly contradicts are left out of later passes.  From
 the second pass on, up to `UNRATED_DOCS` documents without a rating take part
-where the network is sure of them.
+where the network is sure of them.  `fit_abuse` fits the committee of the model
+file, the same on every run, and measures it on rows it never saw.
 """
 
 from __future__ import annotations
