@@ -144,14 +144,15 @@ def segments(text: str, model: LanguageModel) -> list[tuple[int, str, float, boo
     run = np.cumsum(gain - gain[:, main : main + 1], 0)
     most = float((run - np.minimum(np.minimum.accumulate(run, 0), 0)).max())
     path = [main] * len(marks) if most <= SWITCH_AT_END else _best_path(text, marks, gain)
-    out, i = [], 0
-    while i < len(path):
-        j = i
-        while j < len(path) and path[j] == path[i]:
-            j += 1
+    # The path cuts the text; the codeword nearest to a stretch names its language, and neighbours that agree are one.
+    cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+    named = [model.decode(margin[i:j].sum(0), j - i)[0] for i, j in zip(cuts, cuts[1:], strict=False)]
+    cuts = [0, *(c for c, x, y in zip(cuts[1:], named, named[1:], strict=False) if x != y), len(path)]
+    named = [x for k, x in enumerate(named) if not k or x != named[k - 1]]
+    out = []
+    for i, j, x in zip(cuts, cuts[1:], named, strict=False):
         best, confidence, ambiguous = model.decode(margin[i:j].sum(0), j - i)
-        out.append((marks[i].start(), LANGUAGES[path[i]], confidence if best == path[i] else 1 - confidence, ambiguous or best != path[i]))
-        i = j
+        out.append((marks[i].start(), LANGUAGES[x], confidence if best == x else 1 - confidence, ambiguous or best != x))
     return out
 
 
