@@ -58,8 +58,8 @@ FORMATS = [
     rf"{_DAYNAME}(?<d4>[0-9]{{1,2}})\.?\s+(?:de\s+)?(?<n4>\p{{L}}+)\.?,?\s+(?:de\s+)?(?<y4>[0-9]{{4}})(?:{_AT}{_clock(4)})?",
     # month name first
     rf"{_DAYNAME}(?<n5>\p{{L}}+)\.?\s+(?<d5>[0-9]{{1,2}}),?\s+(?<y5>[0-9]{{4}})(?:{_AT}{_clock(5)})?",
-    # a count of seconds, milliseconds, microseconds or nanoseconds since 1970
-    r"(?<e6>-?(?:[0-9]{1,7}|[0-9]{9,19}))",
+    # a count of seconds, milliseconds, microseconds or nanoseconds since 1970; eight digits without a sign are a date
+    r"(?<e6>-[0-9]{1,19}|[0-9]{1,7}|[0-9]{9,19})",
 ]
 PATTERN = "(?iuU)^(?:" + "|".join(FORMATS) + ")$"
 _FIELDS = {

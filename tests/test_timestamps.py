@@ -86,3 +86,9 @@ def test_full_width_digits_alone(spark):
     dedup = spark.createDataFrame([("k", "pos")], "key string, publisher string")
     want = 1735786800 * 1_000_000  # 2025-01-02 03:00 UTC
     assert {r.rec_id: r.utc_us for r in record_instants(df, pubs, dedup).collect()} == {1: want, 3: want}
+
+
+def test_negative_unix_times_of_any_length(spark):
+    rows = [("-1234567",), ("-12345678",), ("-123456789",), ("20250101",)]
+    got = [r.us for r in normalize_timestamps(spark.createDataFrame(rows, "t string"), "t", "us", F.lit("UTC")).collect()]
+    assert got == [-1234567 * 1_000_000, -12345678 * 1_000_000, -123456789 * 1_000_000, 1735689600 * 1_000_000]
