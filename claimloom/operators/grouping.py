@@ -71,7 +71,7 @@ def near_duplicate_pairs(feats: DataFrame, jaccard_min: float = JACCARD_MIN, ham
         return both
     both = written(both, "alike")
     asked = both.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    h = written(simhash(own.select("key", "grams").join(asked, "key", "left_semi"), "key", "grams", digest), "simhash")
+    h = written(simhash(own.join(asked, "key", "left_semi").select("key", "grams"), "key", "grams", digest), "simhash")
     both = both.join(h.select(F.col("key").alias("a"), F.col("hi").alias("ha"), F.col("lo").alias("la")), "a")
     both = both.join(h.select(F.col("key").alias("b"), F.col("hi").alias("hb"), F.col("lo").alias("lb")), "b")
     return both.where(hamming(F.col("ha"), F.col("hb")) + hamming(F.col("la"), F.col("lb")) <= hamming_max).select("a", "b", "overlap", "size_sum")
@@ -142,10 +142,11 @@ def assign_groups(docs: DataFrame, siblings: bool = True) -> DataFrame:
     record asks; where clusters may be large leave them out with `siblings=False`
     and join on the cluster id.
     """
-    feats = written(features(docs), "features")
+    made = features(docs)  # shingles are many times a text: they are hashed where they are made and never written
+    feats = written(made.drop("grams"), "features")
     outlet = feats.withColumn("outlet", F.coalesce("domain", F.when(F.coalesce("publisher_fold", F.lit("")) != "", F.concat(F.lit("publisher:"), "publisher_fold"))))
     same = star_edges(feats, "key", "canonical", "same_canonical_url").unionByName(star_edges(feats, "key", "text_hash", "exact_text_hash"))
-    same = written(same.unionByName(near_duplicate_pairs(feats).select("a", "b", F.lit("near_duplicate_text").alias("basis"))), "links")
+    same = written(same.unionByName(near_duplicate_pairs(made).select("a", "b", F.lit("near_duplicate_text").alias("basis"))), "links")
     linked = same.unionByName(star_edges(outlet, "key", "outlet", "same_publisher_or_domain"))
     keys = feats.select("key")
     dup = written(stable_ids(connected_components(keys, same), "dc"), "clusters")

@@ -300,7 +300,7 @@ _NEAR = f"""f AS (SELECT key, {_CONTENT("coalesce(title, '') || ' ' || coalesce(
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return written(grouping.features(spread(table(spark, d, "dedup_candidate"))), "features")
+    return grouping.features(spread(table(spark, d, "dedup_candidate")))
 
 
 @query(f"WITH {_NEAR} SELECT a, b, overlap, size_sum FROM near")
