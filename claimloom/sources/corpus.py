@@ -53,7 +53,7 @@ class SearchProvider(Protocol):
 
 @runtime_checkable
 class FactCheckProvider(Protocol):
-    """A source of fact checks (A4) for `claim, language, as_of` rows; the reference has none either."""
+    """A source of fact checks (A4) for `claim, language, as_of`."""
 
     name: str
 
